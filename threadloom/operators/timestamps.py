@@ -30,8 +30,6 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 HEADER_LAYOUT = (
     r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), \d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4} \d\d:\d\d:\d\d [+-]\d{4}\z"
 )
-#: Layouts in the order of CANDIDATES' columns.
-LAYOUTS = ["named_month", "year_first", "compact", "day_first", "month_first", "short_year_first", "epoch_s", "epoch_ms", "epoch_us"]
 
 
 def _month(name: Column) -> Column:
@@ -43,80 +41,114 @@ def _year(text: Column) -> Column:
     return F.when(F.length(text) > 2, y).when(y < 70, y + 2000).otherwise(y + 1900)
 
 
-def candidates(value: Column) -> Column:
-    """An array of struct(layout, utc_us): every valid reading of a text, empty where it denotes no instant.
+#: Two numbers and a year in an order that the text does not tell.
+NUMBERS = r"(?<![\d:])(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?![\d:])"
+CLOCK = r"(?<![\d:])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?![\d:])"
+COMPACT = r"(?<!\d)(\d{4})(\d{2})(\d{2})[Tt ]?(\d{2})(\d{2})(\d{2})?(?:[.,](\d{1,9}))?(?!\d)"
+DAY_MONTH = r"(?<!\d)(\d{1,2})(?:st|nd|rd|th)?[ \-]((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))[A-Za-z]*\.?,?[ \-](\d{4}|\d{2})(?![\d:])"
+MONTH_DAY = (
+    r"(?<![A-Za-z])((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?,?"
+    r"(?: \d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?(?: [A-Za-z]{1,5}(?:[+-]\d{2}:?\d{2})?)? (\d{4})(?![\d:])"
+)
+YEAR_FIRST = r"(?<!\d)(\d{4})[-/.年] ?(\d{1,2})[-/.月] ?(\d{1,2})(?!\d)"
+OFFSET = r"([+\-\x{2212}])(\d{2}):?(\d{2})(?!\d)"
+REGION = r"[A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+"
+
+
+def tidy(value: Column) -> Column:
+    """A text with runs of white space as one blank, nothing around it and no header name before it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(value, r"(?U)[\s\x{feff}]+", " "), r"(?i)^ ?date ?: ?", ""))
 
-    Null, blank, '-', words and impossible dates give an empty array.
+
+def parse(df: DataFrame, value: str) -> DataFrame:
+    """df with _parses, an array of struct(layout, utc_us): every valid reading of a text column.
+
+    Null, blank, '-', words and impossible dates give an empty array. The columns are built in steps, each of which
+    runs a pattern once; later steps use its groups.
     """
-    part = lambda text, pattern, k: F.regexp_extract(text, pattern, k)
-    text = F.regexp_replace(F.regexp_replace(value, r"(?U)[\s\x{feff}]+", " "), r"(?i)^ ?date ?: ?", "")
-    text = F.trim(text)
-    clock = r"(?<![\d:])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?![\d:])"
-    compact = r"(?<!\d)(\d{4})(\d{2})(\d{2})[Tt ]?(\d{2})(\d{2})(\d{2})?(?:[.,](\d{1,9}))?(?=[^\d]|$)"
-    is_compact = text.rlike(r"^\d{8}[Tt ]\d{4}(?:\d{2})?(?!\d)")
-    after = F.when(is_compact, F.regexp_replace(text, r"^\d{8}[Tt ]\d{4,6}(?:[.,]\d+)?", "")).when(
-        text.rlike(clock), F.regexp_replace(text, r"^.*?(?<![\d:])\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?![\d:])", "")
-    ).otherwise(F.lit(""))
-    # time of day
-    pick = lambda k, c: F.when(is_compact, part(text, compact, c)).otherwise(part(text, clock, k))
-    hour = F.coalesce(pick(1, 4).try_cast("int"), F.lit(0))
-    minute = F.coalesce(pick(2, 5).try_cast("int"), F.lit(0))
-    second = F.coalesce(pick(3, 6).try_cast("int"), F.lit(0))
-    micros = F.substring(F.rpad(pick(4, 7), 6, "0"), 1, 6).try_cast("int")
-    noon = F.lower(part(text, r"(?i)(?<![a-z])([ap])\.?m\b|(上午|下午)", 0))
-    is_pm, is_am = noon.rlike("^p|下午"), noon.rlike("^a|上午")
-    hour = F.when(is_pm & (hour < 12), hour + 12).when(is_am & (hour == 12), 0).otherwise(hour)
-    # zone
-    numeric = r"([+\-\x{2212}])(\d{2}):?(\d{2})(?!\d)"
-    sign = F.when(part(after, numeric, 1) == "+", 1).otherwise(-1)
-    offset = F.when(after.rlike(numeric), sign * (part(after, numeric, 2).try_cast("int") * 60 + part(after, numeric, 3).try_cast("int")))
-    abbreviation = F.upper(part(after, r"(?i)(?<![a-z/])(" + "|".join(sorted(ABBREVIATIONS, key=lambda x: -len(x))) + r")(?![a-z/])", 1))
+    groups = lambda pattern, *ks: F.split(F.regexp_replace(F.regexp_extract("_text", pattern, 0), pattern, "|".join(f"${k}" for k in ks)), r"\|")
+    item = lambda c, k: F.get(c, k).try_cast("int")
+    text = F.col("_text")
+    df = df.withColumn("_text", tidy(F.col(value)))
+    bare = text.rlike(r"^[+-]?\d{1,17}(?:\.\d+)?$") & ~text.rlike(r"^\d{8}$|^\d{4}$")
+    kind = (
+        F.when(bare, "bare")
+        .when(text.rlike(r"^\d{8}(?:[Tt ]?\d{4}(?:\d{2})?(?!\d)|$)"), "compact")
+        .when(text.rlike(DAY_MONTH), "day_month")
+        .when(text.rlike(MONTH_DAY), "month_day")
+        .when(text.rlike(YEAR_FIRST), "year_first")
+        .when(text.rlike(NUMBERS), "numbers")
+    )
+    df = df.withColumn("_kind", kind)
+    k = F.col("_kind")
+    day = (
+        F.when(k == "compact", F.array(F.substring("_text", 1, 4), F.substring("_text", 5, 2), F.substring("_text", 7, 2)))
+        .when(k == "day_month", groups(DAY_MONTH, 3, 2, 1))
+        .when(k == "month_day", groups(MONTH_DAY, 3, 1, 2))
+        .when(k == "year_first", groups(YEAR_FIRST, 1, 2, 3))
+        .when(k == "numbers", groups(NUMBERS, 1, 2, 3))
+    )
+    clock = F.when(k == "compact", groups(COMPACT, 4, 5, 6, 7)).when(k != "bare", groups(CLOCK, 1, 2, 3, 4))
+    df = df.withColumns({"_day": day, "_clock": clock})
+    after = F.when(k == "compact", F.regexp_replace(text, r"^\d{8}[Tt ]?\d{0,6}(?:[.,]\d+)?", "")).when(
+        F.get("_clock", 0) != "", F.regexp_replace(text, r"^.*?(?<![\d:])\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?![\d:])", "")
+    )
+    noon = F.when(text.rlike(r"(?i)\d ?[ap]\.?m\b|上午|下午"), F.lower(F.regexp_extract(text, r"(?i)(?<![a-z])([ap])\.?m\b|(上午|下午)", 0)))
+    df = df.withColumns({"_after": after, "_noon": noon})
+    known = "|".join(sorted(ABBREVIATIONS, key=lambda x: -len(x)))
+    zone = F.when(F.col("_after").rlike(OFFSET), F.regexp_replace(F.regexp_extract("_after", OFFSET, 0), OFFSET, "$1|$2|$3")).when(F.col("_after").rlike("[A-Za-z]"), F.regexp_extract("_after", REGION, 0))
+    short = F.when(~F.col("_after").rlike(OFFSET) & F.col("_after").rlike("[A-Za-z]"), F.upper(F.regexp_extract("_after", rf"(?i)(?<![a-z/])({known})(?![a-z/])", 1)))
+    df = df.withColumns({"_zone": zone, "_short": short})
+    parts = F.split("_zone", r"\|")
+    numeric = F.when(F.size(parts) == 3, F.when(F.get(parts, 0) == "+", 1).otherwise(-1) * (item(parts, 1) * 60 + item(parts, 2)))
     fixed = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    offset = F.coalesce(offset, F.try_element_at(fixed, F.when(abbreviation != "", abbreviation)))
     regions = sorted(z for z in available_timezones() if "/" in z and not z.startswith(("posix/", "right/", "SystemV/")))
-    known = F.map_from_arrays(F.array(*[F.lit(z.lower()) for z in regions]), F.array(*map(F.lit, regions)))
-    region = part(after, r"([A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+)", 1)
-    region = F.try_element_at(known, F.when(region != "", F.lower(region)))
+    names = F.map_from_arrays(F.array(*[F.lit(z.lower()) for z in regions]), F.array(*map(F.lit, regions)))
+    region = F.when(F.col("_zone").rlike("^[A-Za-z]"), F.try_element_at(names, F.lower("_zone")))
+    h = F.coalesce(item("_clock", 0), F.lit(0))
+    pm, am = F.col("_noon").rlike("^p|下午"), F.col("_noon").rlike("^a|上午")
+    df = df.withColumns(
+        {
+            "_offset": F.coalesce(numeric, F.try_element_at(fixed, F.when(F.col("_short") != "", F.col("_short")))),
+            "_region": region,
+            "_hour": F.when(pm & (h < 12), h + 12).when(am & (h == 12), 0).otherwise(h),
+            "_minute": F.coalesce(item("_clock", 1), F.lit(0)),
+            "_second": F.coalesce(item("_clock", 2), F.lit(0)),
+            "_micros": F.coalesce(F.substring(F.rpad(F.get("_clock", 3), 6, "0"), 1, 6).try_cast("int"), F.lit(0)),
+            "_number": F.when(k == "bare", text).try_cast("decimal(38,9)"),
+        }
+    )
 
     def instant(y: Column, m: Column, d: Column) -> Column:
-        local = F.try_make_timestamp(y, m, d, hour, minute, second.cast("decimal(8,6)"), F.lit("UTC"))
-        us = F.when(offset.isNotNull(), F.unix_micros(local) - offset.cast("long") * 60_000_000)
+        local = F.try_make_timestamp(y, m, d, F.col("_hour"), F.col("_minute"), F.col("_second").cast("decimal(8,6)"), F.lit("UTC"))
+        us = F.when(F.col("_offset").isNotNull(), F.unix_micros(local) - F.col("_offset").cast("long") * 60_000_000)
         # a repeated local time is read as the earlier instant, a skipped one with the offset before the change
-        us = us.when(region.isNotNull(), F.unix_micros(F.to_utc_timestamp(local, region))).otherwise(F.unix_micros(local))
-        return us + F.coalesce(micros, F.lit(0))
-
-    n = lambda pattern, k: part(text, pattern, k).try_cast("int")
-    day_month = r"(?<!\d)(\d{1,2})(?:st|nd|rd|th)?[ \-]([A-Za-z]{3})[A-Za-z]*\.?,?[ \-](\d{4}|\d{2})(?![\d:])"
-    month_day = r"(?<![A-Za-z])((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?,?(?: \d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?(?: [A-Za-z]{1,5}(?:[+-]\d{2}:?\d{2})?)? (\d{4})(?![\d:])"
-    ymd = r"(?<!\d)(\d{4})[-/.年] ?(\d{1,2})[-/.月] ?(\d{1,2})(?!\d)"
-    numbers = r"(?<![\d:])(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?![\d:])"
-    named = text.rlike(day_month) & _month(part(text, day_month, 2)).between(1, 12)
-    plain = ~named & ~text.rlike(ymd) & ~is_compact & text.rlike(numbers)
-    bare = text.rlike(r"^[+-]?\d{1,17}(?:\.\d+)?$") & ~text.rlike(r"^\d{8}$|^\d{4}$")
-    number = F.when(bare, text).try_cast("decimal(38,9)")
-    size = F.abs(number)
+        us = us.when(F.col("_region").isNotNull(), F.unix_micros(F.to_utc_timestamp(local, F.col("_region")))).otherwise(F.unix_micros(local))
+        return us + F.col("_micros")
+
     read = lambda layout, us: F.struct(F.lit(layout).alias("layout"), us.cast("long").alias("utc_us"))
-    two_digits = F.length(part(text, numbers, 3)) == 2
-    parses = F.when(
-        bare,
-        F.array(
-            F.when(size < 100_000_000_000, read("epoch_s", F.floor(number * 1_000_000)))
-            .when(size < 100_000_000_000_000, read("epoch_ms", F.floor(number * 1000)))
-            .otherwise(read("epoch_us", F.floor(number)))
-        ),
-    ).otherwise(
-        F.array(
-            F.when(named, read("named_month", instant(_year(part(text, day_month, 3)), _month(part(text, day_month, 2)), n(day_month, 1)))),
-            F.when(~named & text.rlike(month_day), read("named_month", instant(n(month_day, 3), _month(part(text, month_day, 1)), n(month_day, 2)))),
-            F.when(~named & text.rlike(ymd) & ~is_compact, read("year_first", instant(n(ymd, 1), n(ymd, 2), n(ymd, 3)))),
-            F.when(is_compact, read("compact", instant(n(compact, 1), n(compact, 2), n(compact, 3)))),
-            F.when(text.rlike(r"^\d{8}$"), read("compact", instant(F.substring(text, 1, 4).try_cast("int"), F.substring(text, 5, 2).try_cast("int"), F.substring(text, 7, 2).try_cast("int")))),
-            F.when(plain, read("day_first", instant(_year(part(text, numbers, 3)), n(numbers, 2), n(numbers, 1)))),
-            F.when(plain, read("month_first", instant(_year(part(text, numbers, 3)), n(numbers, 1), n(numbers, 2)))),
-            F.when(plain & two_digits, read("short_year_first", instant(_year(part(text, numbers, 1)), n(numbers, 2), n(numbers, 3)))),
+    year = lambda c: F.when(F.length(c) > 2, c.try_cast("int")).when(c.try_cast("int") < 70, c.try_cast("int") + 2000).otherwise(c.try_cast("int") + 1900)
+    one, two, three = (F.get("_day", x) for x in range(3))
+    number, size = F.col("_number"), F.abs("_number")
+    epoch = F.when(size < 100_000_000_000, read("epoch_s", F.floor(number * 1_000_000))).when(size < 100_000_000_000_000, read("epoch_ms", F.floor(number * 1000))).otherwise(read("epoch_us", F.floor(number)))
+    parses = (
+        F.when(k == "bare", F.array(epoch))
+        .when(k == "compact", F.array(read("compact", instant(item("_day", 0), item("_day", 1), item("_day", 2)))))
+        .when(k == "year_first", F.array(read("year_first", instant(item("_day", 0), item("_day", 1), item("_day", 2)))))
+        .when(k.isin("day_month", "month_day"), F.array(read("named_month", instant(year(one), _month(two), item("_day", 2)))))
+        .when(
+            k == "numbers",
+            F.array(
+                read("day_first", instant(year(three), item("_day", 1), item("_day", 0))),
+                read("month_first", instant(year(three), item("_day", 0), item("_day", 1))),
+                F.when(F.length(three) == 2, read("short_year_first", instant(year(one), item("_day", 1), item("_day", 2)))),
+            ),
         )
     )
-    return F.coalesce(F.filter(parses, lambda p: p.isNotNull() & p["utc_us"].isNotNull()), F.array().cast("array<struct<layout:string,utc_us:bigint>>"))
+    valid = F.coalesce(F.filter(parses, lambda p: p.isNotNull() & p["utc_us"].isNotNull()), F.array().cast("array<struct<layout:string,utc_us:bigint>>"))
+    # a generator, so that a later filter on the readings isn't evaluated twice by being pushed below them
+    out = df.select("*", F.inline(F.array(F.struct(valid.alias("_parses")))))
+    return out.drop("_text", "_kind", "_day", "_clock", "_after", "_noon", "_zone", "_short", "_offset", "_region", "_hour", "_minute", "_second", "_micros", "_number")
 
 
 def mixture(counts: list[tuple[str, tuple[str, ...], int]], rounds: int = 50, smooth: float = 0.5) -> dict[tuple[str, str], float]:
@@ -154,12 +186,12 @@ def normalise(df: DataFrame, value: str, source: Column, sure: float = 0.9) -> D
     """
     added = ["utc_us", "guess_us", "layout", "posterior", "state"]
     df = df.drop(*[c for c in df.columns if c in added])
-    read = df.withColumns({"_source": F.coalesce(source.cast("string"), F.lit("")), "_parses": candidates(F.col(value))})
-    # only values with several readings need the mixture; one pass counts them beside the sets
-    sets = read.groupBy("_source", F.transform("_parses", lambda p: p["layout"]).alias("layouts")).count()
-    rows = sets.collect()
-    counts = [(r["_source"], tuple(dict.fromkeys(r["layouts"])), r["count"]) for r in rows]
-    weights = mixture(counts) if any(len(layouts) > 1 for _, layouts, _ in counts) else {}
+    df = df.withColumn("_source", F.coalesce(source.cast("string"), F.lit("")))
+    # posteriors of the other layouts are 1; only these take part in a mixture
+    open_ = parse(df.where(F.col(value).rlike(NUMBERS)).select("_source", value), value)
+    rows = open_.groupBy("_source", F.transform("_parses", lambda p: p["layout"]).alias("layouts")).count().collect()
+    weights = mixture([(r["_source"], tuple(dict.fromkeys(r["layouts"])), r["count"]) for r in rows])
+    read = parse(df, value)
     if weights:
         table = F.create_map(*[F.lit(x) for (s, layout), w in weights.items() for x in (f"{s}\0{layout}", w)])
         weight = lambda p: F.coalesce(F.try_element_at(table, F.concat_ws("\0", F.col("_source"), p["layout"])), F.lit(0.0))
