@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from threadloom.llm import mixing, tokens
+from threadloom.llm import encoding, mixing, tokens
 from threadloom.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -23,3 +23,13 @@ def p9_mixture(t: Tables) -> DataFrame:
 @registry.add("p9_shares")
 def p9_shares(t: Tables) -> DataFrame:
     return mixing.mix(t.documents, t.mix_targets)[1]
+
+
+@registry.add("p6_found")
+def p6_found(t: Tables) -> DataFrame:
+    return encoding.find(t.emails, ["body", "from_name", "subject"]).select("id", "field")
+
+
+@registry.add("p6_restored")
+def p6_restored(t: Tables) -> DataFrame:
+    return encoding.find(t.emails, ["body", "from_name", "subject"]).select("id", "field", "restored", "pairs")
