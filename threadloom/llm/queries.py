@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from threadloom.llm import encoding, mixing, tokens
+from threadloom.llm import encoding, mixing, names, tokens
 from threadloom.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -33,3 +34,13 @@ def p6_found(t: Tables) -> DataFrame:
 @registry.add("p6_restored")
 def p6_restored(t: Tables) -> DataFrame:
     return encoding.find(t.emails, ["body", "from_name", "subject"]).select("id", "field", "restored", "pairs")
+
+
+@registry.add("p3_found")
+def p3_found(t: Tables) -> DataFrame:
+    return names.pairs(names.link(t.emails))
+
+
+@registry.add("p3_senders")
+def p3_senders(t: Tables) -> DataFrame:
+    return names.link(t.emails).groupBy("entity").agg(F.count("*").alias("spellings"), F.min("sender").alias("first_spelling"))
