@@ -200,8 +200,12 @@ def link(emails: DataFrame, column: str = "from_email") -> DataFrame:
     # names within one edit
     rest = lambda k: F.array_join(F.array_remove(F.col("tokens"), k), " ")
     shards = names.select("name", "tokens", F.explode(F.array_distinct("tokens")).alias("whole")).withColumn("rest", rest(F.col("whole"))).where("length(rest) >= 3")
-    shards = shards.select("name", "rest", F.explode(F.array(F.concat_ws("|", "whole", F.lit("^"), F.substring("rest", 1, 2)), F.concat_ws("|", "whole", F.lit("$"), F.expr("right(rest, 2)")))).alias("shard"))
-    typos = cut(shards.groupBy("shard").applyInPandas(trie_join, "a string, b string").distinct())
+    # one edit leaves the first or the last letters of the rest whole; rests near the limit take keys of both lengths
+    ends = [F.when(when, F.concat_ws("|", "whole", F.lit(side), part)) for size, when in ((3, F.length("rest") >= 7), (2, F.length("rest") <= 7)) for side, part in (("^", F.substring("rest", 1, size)), ("$", F.expr(f"right(rest, {size})")))]
+    shards = shards.select("name", "rest", F.explode(F.array_compact(F.array(*ends))).alias("shard"))
+    # a shard is small, so the number of tasks is given: by size they would all go into a few
+    spread = max(2, int(emails.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    typos = cut(shards.repartition(spread, "shard").groupBy("shard").applyInPandas(trie_join, "a string, b string").distinct())
     # two names that each have an address of their own spelling them exactly are two senders
     own = known.where("size(tokens) >= 2").select("name", F.exists("tokens", lambda t: (F.length(t) >= 4) & (F.contains("local", t) | (F.col("host") == t))).alias("own"), F.col("address")).where("own").groupBy("name").agg(F.collect_set("address").alias("owned"))
     a, b = own.select(F.col("name").alias("a"), F.col("owned").alias("owned_a")), own.select(F.col("name").alias("b"), F.col("owned").alias("owned_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm import encoding, mixing, names, tokens
+from threadloom.llm import encoding, mixing, names, spam, tokens
 from threadloom.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -44,3 +44,13 @@ def p3_found(t: Tables) -> DataFrame:
 @registry.add("p3_senders")
 def p3_senders(t: Tables) -> DataFrame:
     return names.link(t.emails).groupBy("entity").agg(F.count("*").alias("spellings"), F.min("sender").alias("first_spelling"))
+
+
+@registry.add("p10_found")
+def p10_found(t: Tables) -> DataFrame:
+    return spam.judge(t.documents).where("share > 0.5").select("doc_id")
+
+
+@registry.add("p10_shares")
+def p10_shares(t: Tables) -> DataFrame:
+    return spam.judge(t.documents).select("doc_id", "chars", "bad_chars", F.round("share", 6).alias("share"))
