@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm import encoding, mixing, names, spam, tokens
+from threadloom.llm import answers, encoding, mixing, names, spam, tokens
 from threadloom.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -54,3 +54,8 @@ def p10_found(t: Tables) -> DataFrame:
 @registry.add("p10_shares")
 def p10_shares(t: Tables) -> DataFrame:
     return spam.judge(t.documents).select("doc_id", "chars", "bad_chars", F.round("share", 6).alias("share"))
+
+
+@registry.add("p7_found")
+def p7_found(t: Tables) -> DataFrame:
+    return answers.judge(t.translation_cache, t.paragraphs, t.threads, t.emails)
