@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm import answers, encoding, mixing, names, spam, tokens
+from threadloom.llm import answers, encoding, mixing, names, quotes, spam, tokens
 from threadloom.plans.registry import Registry, Tables
 
 registry = Registry()
@@ -59,3 +59,8 @@ def p10_shares(t: Tables) -> DataFrame:
 @registry.add("p7_found")
 def p7_found(t: Tables) -> DataFrame:
     return answers.judge(t.translation_cache, t.paragraphs, t.threads, t.emails)
+
+
+@registry.add("p5_found")
+def p5_found(t: Tables) -> DataFrame:
+    return quotes.not_new(t.emails)
