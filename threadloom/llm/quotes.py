@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -27,8 +28,8 @@ from threadloom.operators import timestamps
 from threadloom.tables import cut, one_form
 
 
-def _marks(chars: str) -> str:
-    """Characters, also as they look when read in a wrong character set."""
+def _looks(chars: str) -> set[str]:
+    """What characters look like when read in a wrong character set."""
     out = set()
     for c in chars:
         for true, wrong in PAIRS:
@@ -39,11 +40,15 @@ def _marks(chars: str) -> str:
                         out.add(seen.strip("�") or seen)
             except UnicodeError:
                 continue
-    return "|".join(sorted(map(re.escape, out - {"�"}), key=lambda x: -len(x)))
+    return out - {"�"}
+
+
+def _either(texts: set[str]) -> str:
+    return "|".join(sorted(map(re.escape, texts), key=lambda x: -len(x)))
 
 
 # Words of mail programs and of mailing lists.
-MARK = re.compile(rf"^(?:\s{{0,4}}(?:[>»＞]|[|:](?=[\s>|:»]|$)|[A-ZÀ-ÖØ-ÞŁŚŠŽĆČŽ]{{1,3}}>|�(?= )|{_marks("»＞")}))+ ?")
+MARK = re.compile(rf"^(?:\s{{0,4}}(?:[>»＞]|[|:](?=[\s>|:»]|$)|[A-ZÀ-ÖØ-ÞŁŚŠŽĆČŽ]{{1,3}}>|�(?= )|{_either(_looks("»＞"))}))+ ?")
 VERB = r"(?:wrote|writes|said|says|schrieb|geschrieben|écrit|escribió|ha scritto|skrev|schreef|napisał\w*|写道|写|написал\w*|пишет|書きました|さんの発言)"
 INTRODUCES = re.compile(rf"(?:{VERB}\s*(?:[:：]|$)|^(?:Quoting|\*)\s.*[)\]]\s*:)\s*$", re.I)
 BEGINS = re.compile(r"^\s*(?:On|Am|Le|El|In message|In article|Quoting|\*|W dniu|Il|Op|Den|在|于|пользователь|\d{4}年|\d{1,4}[./-]\d{1,2}[./-])\b|^\s*[在于]|^<[^>]*>\s|^\S+@\S+")
@@ -53,7 +58,7 @@ HEADER = re.compile(
 )
 WHO = {"from", "发件人", "von", "de", "от", "差出人"}
 DIVIDER = re.compile(r"^\s*(?:-{2,}\s*(?:Original Message|Forwarded [Mm]essage|Ursprüngliche Nachricht|Weitergeleitete Nachricht|Message d'origine|Message transféré|原始邮件|转发邮件|Исходное сообщение|元のメッセージ)\s*-{2,}|Begin forwarded message:|_{20,})\s*$", re.I)
-RULE = re.compile(rf"^(?:-- ?|—|–|�|{_marks('—')}|_{{6,}}|={{6,}}|\*(?: \*){{2,}}|~{{4,}}|-{{6,}}|-{{2,}} ?8< ?-{{2,}})\s*$")
+RULE = re.compile(rf"^(?:-- ?|—|–|�|{_either(_looks('—'))}|_{{6,}}|={{6,}}|\*(?: \*){{2,}}|~{{4,}}|-{{6,}}|-{{2,}} ?8< ?-{{2,}})\s*$")
 FAREWELL = re.compile(
     r"(?i)^(?:best|best wishes|(?:best|kind|warm)(?:est)? regards|regards|cheers|many thanks|thanks|thank you|thx|br|rgds|sincerely|yours|greetings|ciao|viele grüße|(?:mit )?freundliche\w* grü(?:ße|ßen)|grüße|gruß|lg|mfg|vg|cordialement|bien à vous|bonne journée|à bientôt|merci|amicalement|saludos|с уважением|спасибо|всего доброго|此致|敬礼|谢谢|祝好|致敬|顺祝商祺|敬具|よろしくお願いします|以上)[,，.!。]?\s*$"
 )
@@ -61,11 +66,30 @@ NOTICE = re.compile(r"(?i)^\s*(?:NOTICE:|CONFIDENTIAL|DISCLAIMER|The contents of
 FOOTER = re.compile(r"(?i)^\s*(?:Sent from (?:my|a)\b|Sent (?:with|via|using)\b|Get \w+ for\b|Von unterwegs gesendet|Gesendet (?:von|mit)\b|Envoyé (?:de|depuis)\b|发自|来自我的|Отправлено с|iPhoneから送信|To unsubscribe\b|Unsubscribe:|\S.{0,60}\bmailing list\b\s*(?:--|:|$))")
 CODE = re.compile(r"^\s*(?:[+\-@#\[{}|]|diff |index [0-9a-f]|CONFIG_|\w[\w-]*-by:|Cc:|Fixes:|Link:|Result:|run \d)|[;{}]\s*$|\s\|\s+\d+ [+-]")
 TITLE = re.compile(r"\b(?:Engineer|Architect|Reliability|Developer|Manager|Director|Maintainer|team at|group|Street|Road|ext\.|desk|building)\b|^https?://\S+/people/|^[\"“].*[\"”]$|^\S+@\S+ \|")
-GAP = re.compile(r"[\W_]+")
+
+
+#: How a quotation mark may begin, so that most lines need no pattern.
+_FIRST = frozenset(x[0] for x in _looks("»＞")) | {"�"}
+_RULED = frozenset(x[0] for x in _looks("—"))
+_UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŁŚŠŽĆČ")
+
+
+def is_marked(line: str) -> bool:
+    """Whether a line begins with a quotation mark."""
+    text = line.lstrip()
+    if not text or len(line) - len(text) > 4:
+        return False
+    c = text[0]
+    if c in ">»＞":
+        return True
+    if c in "|:":
+        return bool(MARK.match(line)) and not (c == "|" and text.rstrip().endswith("|") and text.count("|") > 2)
+    return (c in _UPPER and ">" in text[1:4] or c in _FIRST) and bool(MARK.match(line))
 
 
 def flat(line: str) -> str:
-    return GAP.sub("", MARK.sub("", line).lower())
+    """A line in lower case without white space."""
+    return "".join(line.lower().split())
 
 
 def digest(text: str) -> int:
@@ -77,17 +101,17 @@ def _fold(text: str) -> set[str]:
     return {w for w in re.findall(r"[^\W\d_]+", plain.lower()) if len(w) > 1}
 
 
-def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, str]], list[tuple[int, str]], list[str]]:
+def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int]], list[tuple[int, int]], list[int]]:
     """(old, own, spilled, said) of one body.
 
     old: numbers of the lines that by their form are not newly written. own: the other lines that aren't blank, as
-    (number, flat text). spilled: unmarked lines just below a marked one, as (number, flat text of both). said: the flat
-    text of all unmarked lines above a copied header.
+    (number, hash, size). spilled: unmarked lines just below a marked one, as (number, hash of both together). said:
+    hashes of all unmarked telling lines above a copied header.
     """
     lines = [x.rstrip("\r") for x in body.split("\n")]
     n = len(lines)
-    full = [bool(x.strip()) for x in lines]
-    marked = [f and bool(MARK.match(x)) and not (x.lstrip().startswith("|") and x.rstrip().endswith("|") and x.count("|") > 2) for x, f in zip(lines, full, strict=True)]
+    full = [bool(x) and not x.isspace() for x in lines]
+    marked = [f and is_marked(x) for x, f in zip(lines, full, strict=True)]
     if sum(marked) < 2:  # one line that begins with a colon or bar is not a quotation, unless it is introduced
         marked = [m and (x.lstrip()[:1] in ">»＞" or (k > 0 and bool(INTRODUCES.search(lines[k - 1])))) for k, (m, x) in enumerate(zip(marked, lines, strict=True))]
     after = [n] * (n + 1)  # the next line that isn't blank
@@ -99,7 +123,9 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, str]], lis
     # a copied header and all below it
     k = 0
     while k < n:
-        if full[k] and not marked[k] and (m := HEADER.match(lines[k])):
+        if marked[k] or not full[k]:
+            pass
+        elif (":" in lines[k][:20] or "：" in lines[k][:20]) and HEADER.match(lines[k]):
             j, found = k, []
             while j < n and full[j] and (h := HEADER.match(lines[j])):
                 found.append(h.group(1).lower())
@@ -115,7 +141,7 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, str]], lis
                 end = top
                 break
             k = j
-        elif full[k] and not marked[k] and DIVIDER.match(lines[k]) and "_" not in lines[k]:
+        elif lines[k].lstrip()[0] in "-B" and DIVIDER.match(lines[k]):
             end = k
             break
         k += 1
@@ -127,6 +153,8 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, str]], lis
         nxt = after[k + 1] if k + 1 <= n else n
         leads = nxt < n and (marked[nxt] or nxt >= end)
         text = lines[k].rstrip()
+        if not leads and text[-1] not in ":：":
+            continue
         if INTRODUCES.search(text) and (leads or DATED.search(text) or "@" in text) or (leads and text.endswith((":", "：")) and (DATED.search(text) or "@" in text) and len(text) < 200):
             old.add(k)
             for back in range(k - 1, max(-1, k - 3), -1):
@@ -140,19 +168,26 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, str]], lis
         text = lines[k]
         if NOTICE.match(text) or FOOTER.match(text):
             return True
-        nxt = after[k + 1]
-        rest = [j for j in range(k + 1, end) if full[j] and not marked[j]]
-        if RULE.match(text):
+        first = text.lstrip()[0]
+        if (not first.isalnum() or first in _RULED) and RULE.match(text):
+            nxt = after[k + 1]
+            rest = sum(1 for j in range(k + 1, end) if full[j] and not marked[j])
             if text.rstrip() == "--" or text.startswith("-- "):
                 return True
-            if nxt >= end or len(lines[nxt]) > 60 or len(rest) > 16:
+            if nxt >= end or len(lines[nxt]) > 60 or rest > 16:
                 return False
-            return bool(_fold(lines[nxt]) & names) or TITLE.search(lines[after[nxt + 1]] if after[nxt + 1] < end else "") is not None or bool(FOOTER.match(lines[nxt]) or NOTICE.match(lines[nxt])) or (text.startswith(("—", "=", "_", "~", "*")) and len(lines[nxt].split()) <= 4 and len(rest) <= 12)
-        if FAREWELL.match(text):
-            words = _fold(lines[nxt]) if nxt < end else set()
-            return nxt >= end or (len(lines[nxt].split()) <= 5 and (bool(words & names) or len(rest) <= 5 or not lines[nxt].rstrip().endswith((".", ":", "?"))))
+            below = lines[after[nxt + 1]] if after[nxt + 1] < end else ""
+            if _fold(lines[nxt]) & names or TITLE.search(below) or FOOTER.match(lines[nxt]) or NOTICE.match(lines[nxt]):
+                return True
+            return text.startswith(("—", "=", "_", "~", "*")) and len(lines[nxt].split()) <= 4 and rest <= 12
+        if len(text) < 40 and FAREWELL.match(text):
+            nxt = after[k + 1]
+            if nxt >= end:
+                return True
+            rest = sum(1 for j in range(k + 1, end) if full[j] and not marked[j])
+            return len(lines[nxt].split()) <= 5 and (bool(_fold(lines[nxt]) & names) or rest <= 5 or not lines[nxt].rstrip().endswith((".", ":", "?")))
         # a paragraph that begins with a name alone: the sender's, or any above a line of a post or place
-        if (k and full[k - 1]) or CODE.match(text) or len(text.split()) > 4 or re.search(r"[.,:;?!()\d]", text):
+        if (k and full[k - 1]) or len(text) > 60 or len(text.split()) > 4 or re.search(r"[.,:;?!()\d]", text) or CODE.match(text):
             return False
         below = lines[k + 1] if k + 1 < end and full[k + 1] else ""
         return bool(_fold(text) & names) or bool(TITLE.search(below) and text[:1].isupper() and len(below) < 70)
@@ -165,14 +200,25 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, str]], lis
     spilled = []
     for k in range(1, end):
         if full[k] and not marked[k] and k not in old and marked[k - 1]:
-            spilled.append((k + 1, flat(lines[k - 1]) + flat(lines[k])))
-    own = [(k + 1, flat(lines[k])) for k in range(end) if full[k] and k not in old and not CODE.search(lines[k])]
-    said = [x for k in range(end) if full[k] and not marked[k] and len(x := flat(lines[k])) >= TELLING]
+            above = MARK.sub("", lines[k - 1])
+            if k + 1 < n and marked[k + 1] and len(lines[k]) < 45 and len(above) >= 35:
+                old.add(k)  # a short line between two marked ones is the end of the line above
+            else:
+                spilled.append((k + 1, digest(flat(above) + flat(lines[k]))))
+    own, said = [], []
+    for k in range(end):
+        if full[k] and not marked[k]:
+            text = flat(lines[k])
+            h = digest(text)
+            if len(text) >= TELLING:
+                said.append(h)
+            if k not in old and not CODE.search(lines[k]):
+                own.append((k + 1, h, len(text)))
     return sorted(k + 1 for k in old if full[k]), own, spilled, said
 
 
 #: Lines shorter than this (letters and digits) can't show an unmarked quotation by themselves.
-TELLING = 24
+TELLING = 28
 #: How many lines at the end of what a sender wrote may be a closing, and how often (and in which share of the sender's
 #: mails) a line must stand there.
 CLOSING, OFTEN, SHARE = 10, 3, 0.2
@@ -192,10 +238,10 @@ def lines_of(emails: DataFrame) -> DataFrame:
             col = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("id", "answer", "at")}
             shapes = [shape(b, s) for b, s in zip(col["body"], col["sender"], strict=True)]
             flatten = lambda k: [x for s in shapes for x in s[k]]
-            starts = lambda k: pa.array([0, *__import__("itertools").accumulate(len(s[k]) for s in shapes)], pa.int32())
+            starts = lambda k: pa.array([0, *accumulate(len(s[k]) for s in shapes)], pa.int32())
             own, spilled = flatten(1), flatten(2)
-            structs = pa.StructArray.from_arrays([pa.array([x[0] for x in own], pa.int32()), pa.array([digest(x[1]) for x in own], pa.int64()), pa.array([len(x[1]) for x in own], pa.int32())], fields=list(line))
-            spills = pa.StructArray.from_arrays([pa.array([x[0] for x in spilled], pa.int32()), pa.array([digest(x[1]) for x in spilled], pa.int64())], fields=list(spill))
+            structs = pa.StructArray.from_arrays([pa.array([x[0] for x in own], pa.int32()), pa.array([x[1] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.int32())], fields=list(line))
+            spills = pa.StructArray.from_arrays([pa.array([x[0] for x in spilled], pa.int32()), pa.array([x[1] for x in spilled], pa.int64())], fields=list(spill))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -206,7 +252,7 @@ def lines_of(emails: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(starts(0), pa.array(flatten(0), pa.int32())),
                     pa.ListArray.from_arrays(starts(1), structs),
                     pa.ListArray.from_arrays(starts(2), spills),
-                    pa.ListArray.from_arrays(starts(3), pa.array(list(map(digest, flatten(3))), pa.int64())),
+                    pa.ListArray.from_arrays(starts(3), pa.array(flatten(3), pa.int64())),
                 ],
                 names=["id", "thread", "sender", "answer", "at", "old", "own", "spilled", "said"],
             )
