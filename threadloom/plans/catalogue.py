@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import data_quality, store_queries
+from threadloom.plans import data_quality, store_queries, text_queries
 from threadloom.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [data_quality.registry, store_queries.registry]
+    return [data_quality.registry, store_queries.registry, text_queries.registry]
