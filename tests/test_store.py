@@ -178,8 +178,9 @@ def test_trim(spark):
     doc = document("## [讨论] " + "a" * 50, "## [讨论] " + "b" * 45, "## [讨论] " + "c" * 20)
     run = lambda text, size: contexts.trim(spark.createDataFrame([(text,)], ["content"]), size).first()
     assert run(doc, 10_000)["content"] == doc
-    fixed = len(doc) - sum(map(len, ("## [讨论] " + "a" * 50, "## [讨论] " + "b" * 45, "## [讨论] " + "c" * 20)))
-    greedy = run(document("## [讨论] " + "a" * 50, "## [讨论] " + "b" * 45, "## [讨论] " + "c" * 20), fixed + 200 + 95)
+    blocks = ["## [讨论] " + c * n for c, n in (("a", 592), ("b", 492), ("c", 292))]
+    fixed = len(document())
+    greedy = run(document(*blocks), fixed + 200 + 1000)
     assert (greedy["emails_kept"], greedy["emails_dropped"]) == (2, 1)
     assert "b" * 45 not in greedy["content"]
     assert run("no mails " * 50, 100)["trimmed_size"] == 100
