@@ -43,6 +43,7 @@ TWICE = ["cp1252", "latin-1"]
 STATES = [None, "lost", *PAIRS, *[("utf-8", w, "utf-8", w) for w in TWICE]]
 #: Probabilities that a text has damage of one kind, and that a span of it ends before the next run.
 ENTER, LEAVE = math.log(1e-3), math.log(1e-2)
+CONTRACTED = re.compile(r"(?:[stmd](?![A-Za-z])|(?:re|ve|ll)(?![A-Za-z]))")
 #: Words near garbled characters that are shown and discussed rather than suffered.
 TALK = re.compile(r"(?i)charset|encod|umlaut|accent|mojibake|garbl|code ?page|unicode|utf-?8|latin-?1|乱码|编码|кодировк|literal string|damaged|zeichensatz|kodierung|encodage")
 
@@ -87,12 +88,12 @@ def neighbour(c: str) -> str:
 
 def _places(text: str, m: re.Match) -> tuple[str, str, str]:
     a, b = m.span()
-    return text[a - 1 : a], m.group(), text[b : b + 1]
+    return text[a - 1 : a], m.group(), text[b : b + 3]
 
 
 def contexts(left: str, run: str, right: str) -> Iterator[tuple[str, str, str]]:
     """(left class, character, right class) of each character of a run; the classes are blank for rarer repertoires."""
-    whole = [left, *run, right]
+    whole = [left, *run, right[:1]]
     for k, c in enumerate(run, 1):
         yield (neighbour(whole[k - 1]), c, neighbour(whole[k + 1])) if c in _REPERTOIRE else ("", c, "")
 
@@ -106,7 +107,7 @@ def counts(df: DataFrame, fields: list[str]) -> dict[tuple[str, str, str], int]:
             for column in batch.columns:
                 for text in column.to_pylist():
                     if text and not text.isascii():
-                        seen.update(_places(text, m) for m in RUN.finditer(text))
+                        seen.update((l, run, r[:1]) for l, run, r in (_places(text, m) for m in RUN.finditer(text)))
             if len(seen) > 200_000:
                 yield flush(seen)
         yield flush(seen)
@@ -173,6 +174,9 @@ class Model:
                     back = undo(run, state)
                     if back is not None and not any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") and c not in "\t\n" for c in back):
                         found[k] = self.text(left, back, right)
+                        # an apostrophe that makes a contraction of what is none otherwise
+                        if back == "’" and run != back and left.isalpha() and CONTRACTED.match(right):
+                            found[k] += 5.0
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[place] = found

@@ -48,17 +48,17 @@ def _either(texts: set[str]) -> str:
 
 
 # Words of mail programs and of mailing lists.
-MARK = re.compile(rf"^(?:\s{{0,4}}(?:[>»＞]|[|:](?=[\s>|:»]|$)|[A-ZÀ-ÖØ-ÞŁŚŠŽĆČŽ]{{1,3}}>|�(?= )|{_either(_looks("»＞"))}))+ ?")
+MARK = re.compile(rf"^(?:\s{{0,4}}(?:[>»＞]|[|:](?=[\s>|:»]|$)|[A-ZÀ-ÖØ-ÞŁŚŠŽĆČŽ]{{1,3}}>|�(?= )|(?:{_either(_looks("»＞"))})�*))+ ?")
 VERB = r"(?:wrote|writes|said|says|schrieb|geschrieben|écrit|escribió|ha scritto|skrev|schreef|napisał\w*|写道|写|написал\w*|пишет|書きました|さんの発言)"
 INTRODUCES = re.compile(rf"(?:{VERB}\s*(?:[:：]|$)|^(?:Quoting|\*)\s.*[)\]]\s*:)\s*$", re.I)
 BEGINS = re.compile(r"^\s*(?:On|Am|Le|El|In message|In article|Quoting|\*|W dniu|Il|Op|Den|在|于|пользователь|\d{4}年|\d{1,4}[./-]\d{1,2}[./-])\b|^\s*[在于]|^<[^>]*>\s|^\S+@\S+")
-DATED = re.compile(r"\d{1,2}:\d{2}|\d{4}[-/年]|\b\d{10,16}\b|\b(?:19|20)\d\d\b|\byesterday\b|\bunknown\b")
+DATED = re.compile(r"\d{1,2}:\d{2}|\d{8}T\d{4}|\d{4}[-/年]|\b\d{10,16}\b|\b(?:19|20)\d\d\b|\byesterday\b|\bunknown\b")
 HEADER = re.compile(
     r"^\s*\**(From|Sent|Date|To|Cc|Subject|Reply-To|发件人|发送时间|日期|收件人|抄送|主题|Von|Gesendet|Datum|An|Betreff|De|Envoyé|Date|À|Objet|От|Отправлено|Дата|Кому|Тема|差出人|送信日時|日時|宛先|件名)\**\s?[:：]\s?", re.I
 )
 WHO = {"from", "发件人", "von", "de", "от", "差出人"}
 DIVIDER = re.compile(r"^\s*(?:-{2,}\s*(?:Original Message|Forwarded [Mm]essage|Ursprüngliche Nachricht|Weitergeleitete Nachricht|Message d'origine|Message transféré|原始邮件|转发邮件|Исходное сообщение|元のメッセージ)\s*-{2,}|Begin forwarded message:|_{20,})\s*$", re.I)
-RULE = re.compile(rf"^(?:-- ?|—|–|�|{_either(_looks('—'))}|_{{6,}}|={{6,}}|\*(?: \*){{2,}}|~{{4,}}|-{{6,}}|-{{2,}} ?8< ?-{{2,}})\s*$")
+RULE = re.compile(rf"^(?:-- ?|—|–|�|(?:{_either(_looks('—'))})�*|_{{6,}}|={{6,}}|\*(?: \*){{2,}}|~{{4,}}|-{{6,}}|-{{2,}} ?8< ?-{{2,}})\s*$")
 FAREWELL = re.compile(
     r"(?i)^(?:best|best wishes|(?:best|kind|warm)(?:est)? regards|regards|cheers|many thanks|thanks|thank you|thx|br|rgds|sincerely|yours|greetings|ciao|viele grüße|(?:mit )?freundliche\w* grü(?:ße|ßen)|grüße|gruß|lg|mfg|vg|cordialement|bien à vous|bonne journée|à bientôt|merci|amicalement|saludos|с уважением|спасибо|всего доброго|此致|敬礼|谢谢|祝好|致敬|顺祝商祺|敬具|よろしくお願いします|以上)[,，.!。]?\s*$"
 )
@@ -118,7 +118,9 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int]]
     for k in range(n - 1, -1, -1):
         after[k] = k if full[k] else after[k + 1]
     old = set(k for k in range(n) if marked[k])
-    names = _fold(sender.split("@")[0] if "<" not in sender else sender)
+    shown, _, address = sender.rpartition("<")
+    local = address.split("@")[0]
+    names = _fold(shown) | (set() if any(map(str.isdigit, local)) else _fold(local))
     end = n
     # a copied header and all below it
     k = 0
@@ -174,13 +176,13 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int]]
             rest = sum(1 for j in range(k + 1, end) if full[j] and not marked[j])
             if text.rstrip() == "--" or text.startswith("-- "):
                 return True
-            if nxt >= end or len(lines[nxt]) > 60 or rest > 16:
-                return False
+            if nxt >= end or len(lines[nxt]) > 60 or rest > 16 or (first == "-" and any(map(str.isdigit, lines[nxt]))):
+                return False  # also the rule of a table
             below = lines[after[nxt + 1]] if after[nxt + 1] < end else ""
             if _fold(lines[nxt]) & names or TITLE.search(below) or FOOTER.match(lines[nxt]) or NOTICE.match(lines[nxt]):
                 return True
             return text.startswith(("—", "=", "_", "~", "*")) and len(lines[nxt].split()) <= 4 and rest <= 12
-        if len(text) < 40 and FAREWELL.match(text):
+        if len(text) < 40 and (not k or not full[k - 1] or marked[k - 1]) and FAREWELL.match(text):
             nxt = after[k + 1]
             if nxt >= end:
                 return True
