@@ -57,7 +57,8 @@ CODE_PATTERNS = [
     r"^(?:create|delete)\s+mode\s+\d+",
     r"^rename\s+(?:from|to)\s+",
 ]
-_CODE = re.compile("|".join(f"(?:{p})" for p in CODE_PATTERNS))
+_AT_START = re.compile("|".join(f"(?:{p[1:]})" for p in CODE_PATTERNS if p.startswith("^") and "|^" not in p and not p.startswith(("^/proc", "^(?:->"))))
+_ANYWHERE = re.compile("|".join(f"(?:{p})" for p in CODE_PATTERNS if not p.startswith("^") or "|^" in p or p.startswith(("^/proc", "^(?:->"))))
 _TRACE = re.compile(r"^\S+-\d+\s+\[?\d+\]?")
 _DIFFSTAT = re.compile(r"^[ \t]*\S+[\w./]+\s+\|\s+\d+")
 _CHANGED = re.compile(r"^\s*\d+\s+files?\s+changed")
@@ -82,7 +83,7 @@ def is_code_line(line: str) -> bool:
     s = line.strip()
     if not s:
         return False
-    if _CODE.search(s):
+    if _AT_START.match(s) or _ANYWHERE.search(s):
         return True
     words = s.split()
     aligned = re.search(r"\S\s{2,}\S", s) and len(words) <= 8
