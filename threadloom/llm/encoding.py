@@ -88,7 +88,8 @@ def neighbour(c: str) -> str:
 
 def _places(text: str, m: re.Match) -> tuple[str, str, str]:
     a, b = m.span()
-    return text[a - 1 : a], m.group(), text[b : b + 3]
+    right = text[b : b + 3]
+    return text[a - 1 : a], m.group(), right if CONTRACTED.match(right) else right[:1]
 
 
 def contexts(left: str, run: str, right: str) -> Iterator[tuple[str, str, str]]:
