@@ -153,11 +153,14 @@ def trie_join(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, label) of undirected edges (a, b); the label is the smallest node of the component."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of undirected edges (a, b); the label is the smallest node of the component.
+
+    Labels only fall, so the rounds end; taking over the label of one's label makes them few.
+    """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         step = labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("near"))
         # a label is itself a node: taking its label halves the way to the smallest one
@@ -166,8 +169,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("node", "label")
         if not changed:
-            break
-    return labels
+            return labels
 
 
 PARSED = "sender string, address string, name string, tokens array<string>, initials array<string>, local string, host string, expanded array<string>"
