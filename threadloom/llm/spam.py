@@ -9,13 +9,14 @@ share the words of the salads and the repetitions. A document is flagged if more
 paragraphs. Paragraphs of which half the lines have the form of logs, settings, patches, trailers, test output or
 name lists are never of that sort.
 
-No table is broadcast but that of hot words: a document has some tens of distinct words on average, so at most some
-tens x HOT words can each occur in more than 1/HOT of the documents. All others are joined by shuffle.
+No table is broadcast but that of hot words: a paragraph has some tens of distinct words on average, so at most some
+tens x HOT words can each occur in more than 1/HOT of the paragraphs. All others are joined by shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +35,9 @@ WORD = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+(?:[’'][^\W\d_]+)?")
 IDENTIFIER = re.compile(r"\b\w*[a-z0-9]_\w+(?:\(\))?|\b(?:[a-z]+/)+[\w.-]+\.(?:c|h|S|rst)\b|\b[0-9a-f]{7,40}\b|\b0x[0-9a-f]+")
 SENTENCE = re.compile(r"[.!?。！？…:;](?=\s|$|[”\"')）])|[。！？]")
 UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]")
-PARAGRAPH = "doc_id bigint, para int, chars bigint, words array<string>, size int, ends double, again double, variety double"
+#: Documents turned into words at a time.
+SLICE = 256
+PARAGRAPH = "doc_id bigint, para int, chars bigint, words array<string>, terms array<struct<word:string,k:int>>, size int, ends double, again double, variety double"
 
 
 def words_of(text: str) -> list[str]:
@@ -42,6 +45,8 @@ def words_of(text: str) -> list[str]:
     out: list[str] = []
     for w in WORD.findall(IDENTIFIER.sub(" ", text)):
         w = w.lower()
+        if not w.isascii() and not (w.isalpha() and unicodedata.is_normalized("NFKC", w)):
+            continue  # odd characters are no words
         out += [w[i : i + 2] for i in range(max(1, len(w) - 1))] if UNSPACED.match(w) else [w]
     return out
 
@@ -64,11 +69,14 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     """The paragraphs of all texts; null and blank texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, i, *p[:2], len(p[1]), *p[2:]) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for i, p in enumerate(paragraphs(text))]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "para", "chars", "words", "size", "ends", "again", "variety"])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("word", pa.string()), ("k", pa.int32())])), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "para", "chars", "words", "terms", "size", "ends", "again", "variety"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):  # words as objects take many times the room of their text
+                batch = whole.slice(at, SLICE)
+                rows = [(k, i, *p[:2], [{"word": w, "k": n} for w, n in Counter(p[1]).items()], len(p[1]), *p[2:]) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for i, p in enumerate(paragraphs(text))]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PARAGRAPH)
 
@@ -82,20 +90,23 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, value: str, hot: Column
     return warm.unionByName(tried.where("hot_value is null").drop("hot_value").join(many, key))
 
 
-def mean_pmi(paras: DataFrame, docs: int) -> DataFrame:
-    """(doc_id, para, pmi): the mean pointwise mutual information of neighbouring words of list-like paragraphs."""
+def mean_pmi(paras: DataFrame, total: int) -> DataFrame:
+    """(doc_id, para, pmi): the mean pointwise mutual information of neighbouring words of list-like paragraphs.
+
+    Counts are by paragraph: each row has its distinct words and pairs, so counting needs one shuffle of partial sums.
+    """
     pairs = F.transform(F.sequence(F.lit(0), F.col("size") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
     near = paras.where("size >= 2").select("doc_id", "para", "ends", "size", pairs.alias("pairs"))
-    word = paras.select("doc_id", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n")).select("word", "n", F.log("n").alias("log_n"))
-    pair = near.select("doc_id", F.explode("pairs").alias("pair")).distinct().groupBy("pair").agg(F.count("*").alias("n")).select("pair", "n", F.log("n").alias("log_n"))
+    word = paras.select(F.explode("terms.word").alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", "n", F.log("n").alias("log_n"))
+    pair = near.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).select("pair", "n", F.log("n").alias("log_n"))
     open_ = near.where(LIST_LIKE)
-    common = F.col("n") > max(1, docs // HOT)
+    common = F.col("n") > max(1, total // HOT)
     up = look_up(open_.select("doc_id", "para", F.explode("pairs").alias("pair")), pair, "pair", "log_n", common).groupBy("doc_id", "para").agg(F.sum("log_n").alias("up"), F.count("*").alias("k"))
     # each word counts as often as it is a neighbour: twice, but once at either end
     ends = paras.where(LIST_LIKE).select("doc_id", "para", F.posexplode("words").alias("pos", "word"), "size")
     weight = F.when((F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1), 1).otherwise(2)
     down = look_up(ends.select("doc_id", "para", "word", weight.alias("w")), word, "word", "log_n", common).groupBy("doc_id", "para").agg(F.sum(F.col("log_n") * F.col("w")).alias("down"))
-    mean = (F.col("up") - F.col("down")) / F.col("k") + F.log(F.lit(float(docs)))
+    mean = (F.col("up") - F.col("down")) / F.col("k") + F.log(F.lit(float(total)))
     return up.join(down, ["doc_id", "para"]).select("doc_id", "para", mean.alias("pmi"))
 
 
@@ -107,17 +118,17 @@ SCORE, LEAST = 0.5, 5
 
 
 def word_scores(marked: DataFrame) -> DataFrame:
-    """(word, odds, n) from (words, bad) of paragraphs: the log odds of a word in bad paragraphs, at most 4 either way."""
+    """(word, odds, n) from (terms, bad) of paragraphs: the log odds of a word in bad paragraphs, at most 4 either way."""
     sizes = marked.agg(F.sum(F.col("bad").cast("long")).alias("b"), F.count("*").alias("all")).first()
     bad, rest = sizes["b"] or 0, (sizes["all"] or 0) - (sizes["b"] or 0)
-    seen = marked.select("bad", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum(F.col("bad").cast("long")).alias("s"), F.count("*").alias("n")).where("n >= 3")
+    seen = marked.select("bad", F.explode("terms.word").alias("word")).groupBy("word").agg(F.sum(F.col("bad").cast("long")).alias("s"), F.count("*").alias("n")).where("n >= 3")
     odds = F.log((F.col("s") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("s") + 0.5) / (rest + 1.0))
     return seen.select("word", "n", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), odds)).alias("odds"))
 
 
 def score(paras: DataFrame, scores: DataFrame, count: int) -> DataFrame:
-    """paras (doc_id, para, chars, size, words) with bad, by the mean word score."""
-    counted = paras.where(F.col("size") >= LEAST).select("doc_id", "para", F.explode("words").alias("word")).groupBy("doc_id", "para", "word").agg(F.count("*").alias("k"))
+    """paras (doc_id, para, chars, size, terms) with bad, by the mean word score."""
+    counted = paras.where(F.col("size") >= LEAST).select("doc_id", "para", F.inline("terms"))
     summed = look_up(counted, scores, "word", "odds", F.col("n") > max(1, count // HOT)).groupBy("doc_id", "para").agg(F.sum(F.col("odds") * F.col("k")).alias("sum"), F.sum("k").alias("known"))
     return paras.join(summed, ["doc_id", "para"], "left").withColumn("bad", F.coalesce((F.col("known") >= LEAST) & (F.col("sum") / F.col("size") > SCORE), F.lit(False))).drop("sum", "known")
 
@@ -129,12 +140,11 @@ def judge(docs: DataFrame, rounds: int = 2) -> DataFrame:
     occur. doc_id must be unique. Extra columns are not read; an empty table gives an empty one.
     """
     paras = cut(cut_texts(docs))
-    count = paras.select("doc_id").distinct().count()
-    pmi = mean_pmi(paras, max(1, count))
+    total = paras.count()
+    pmi = mean_pmi(paras, max(1, total))
     listed = F.expr(LIST_LIKE) & ((F.col("pmi") < SALAD) | (F.col("again") > REPEATED_LIST))
     seeds = ((F.col("again") > REPEATED_ANY) & (F.col("variety") < LOW_VARIETY)) | F.coalesce(listed, F.lit(False))
-    marked = cut(paras.join(pmi, ["doc_id", "para"], "left").withColumn("bad", F.coalesce(seeds, F.lit(False))).select("doc_id", "para", "chars", "size", "words", "bad"))
-    total = marked.count()
+    marked = cut(paras.join(pmi, ["doc_id", "para"], "left").withColumn("bad", F.coalesce(seeds, F.lit(False))).select("doc_id", "para", "chars", "size", "terms", "bad"))
     for _ in range(rounds):
         marked = cut(score(marked.drop("bad"), word_scores(marked.where("size >= 8")), max(1, total)))
     bad = F.sum(F.when(F.col("bad"), F.col("chars")).otherwise(0))
