@@ -66,9 +66,8 @@ link as (select f.node, case when f.m.reply in (select node from first) then f.m
 """
 
 
-@registry.add(
-    "p4_found",
-    f"""with recursive {CHAIN_SQL}
+#: Roots and depths of a table link(node, parent); -1 and the circle's smallest id at or below a circle.
+WALK_SQL = """
 walk(node, root_id, depth) as (
   select node, node, 0 from link where parent is null
   union all select l.node, w.root_id, w.depth + 1 from walk w join link l on l.parent = w.node),
@@ -77,6 +76,12 @@ jump(node, at_, seen, depth) as (
   select node, parent, [node], 1 from lost
   union all select j.node, l.parent, list_append(j.seen, j.at_), j.depth + 1 from jump j join lost l on l.node = j.at_ where not list_contains(j.seen, j.at_)),
 ring as (select node, list_min(seen[list_position(seen, at_):]) root_id from jump where list_contains(seen, at_))
+"""
+
+
+@registry.add(
+    "p4_found",
+    f"""with recursive {CHAIN_SQL} {WALK_SQL}
 select node message_id, root_id, cast(depth as int) depth from walk where depth > 0
 union all select node, root_id, cast(-1 as int) from ring""",
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import mailtext as M
 from threadloom.operators import search, threads
+from threadloom.plans.data_quality import ONE_FORM, WALK_SQL
 from threadloom.plans.registry import Registry, Tables
 from threadloom.tables import clean
 
@@ -228,7 +229,16 @@ def index_tokens(t: Tables) -> DataFrame:
     return search.index(t.emails).groupBy("token").agg(F.count_distinct("doc").alias("docs"))
 
 
-@add("thread_roots")
+THREADS_SQL = f"""with recursive mails as (select {ONE_FORM("message_id")} node, id, {ONE_FORM("in_reply_to")} reply, from_email,
+ list_filter(list_transform(regexp_split_to_array(coalesce(refs, ''), '[\\s,]+'), lambda v: {ONE_FORM("v")}), lambda v: v is not null) refs from emails),
+first as (select node, min(id) id, arg_min(struct_pack(reply := reply, refs := refs, sender := from_email), id) m from mails where node is not null group by node),
+named as (select distinct unnest(m.refs) node from first),
+wish as (select node, coalesce(m.reply, case when node in (select node from named) then m.refs[len(m.refs)] end) parent from first),
+link as (select node, case when parent in (select node from first) then parent end parent from wish), {WALK_SQL},
+built as (select l.node mid, l.parent, coalesce(w.root_id, r.root_id) root, coalesce(w.depth, 0) depth, f.m.sender sender from link l left join walk w on w.node = l.node left join ring r on r.node = l.node join first f on f.node = l.node)"""
+
+
+@add("thread_roots", f"{THREADS_SQL} select mid, parent, root, cast(depth as int) depth from built")
 def thread_roots(t: Tables) -> DataFrame:
     return threads.build(t.emails).select("mid", "parent", "root", "depth")
 
@@ -238,16 +248,21 @@ def thread_summary(t: Tables) -> DataFrame:
     return threads.summaries(threads.build(t.emails))
 
 
-@add("report_overview")
+@add("report_overview", f"{THREADS_SQL} select count(distinct root) threads, count(*) mails, count(distinct sender) participants from built")
 def report_overview(t: Tables) -> DataFrame:
     return threads.overview(threads.build(t.emails))
 
 
-@add("busiest_participants")
+@add("busiest_participants", f"{THREADS_SQL} select sender from_email, count(distinct root) threads from built where sender is not null group by 1 order by threads desc, from_email limit 10")
 def busiest_participants(t: Tables) -> DataFrame:
     return threads.busiest(threads.build(t.emails))
 
 
+@add("thread_sizes", f"{THREADS_SQL} select root, count(*) email_count, list_sort(list(distinct sender) filter (sender is not null)) participants from built group by 1")
+def thread_sizes(t: Tables) -> DataFrame:
+    return threads.summaries(threads.build(t.emails)).select("root", "email_count", "participants")
+
+
 @add("thread_first_mails")
 def thread_first_mails(t: Tables) -> DataFrame:
     return threads.first_n(threads.build(t.emails), 5).select("root", "mid", "place")

@@ -58,19 +58,21 @@ def trim(df: DataFrame, size: int = 100_000, column: str = "content") -> DataFra
     A document that fits stays; one without mails is cut hard; if header and footer alone are too long only they stay.
     """
     text = F.col(column)
-    rows = df.withColumn("_s", sections(text))
-    blocks = F.transform("_s.blocks", lambda b, k: F.struct((-M.trim_order(F.regexp_extract(b, r"^## (\[[^\]]+\])", 1))).alias("order"), k.alias("pos"), b.alias("block")))
+    # a generator keeps the sections as columns, so that their patterns run once
+    found = sections(text)
+    rows = df.select("*", F.inline(F.array(F.struct(found["header"].alias("_header"), found["blocks"].alias("_blocks"), found["footer"].alias("_footer")))))
+    blocks = F.transform("_blocks", lambda b, k: F.struct((-M.trim_order(F.regexp_extract(b, r"^## (\[[^\]]+\])", 1))).alias("order"), k.alias("pos"), b.alias("block")))
     limit = lambda order: F.when(order == -1, LIMITS[1]).when(order == -2, LIMITS[2]).otherwise(LIMITS[3])
     shorter = F.transform(F.array_sort(blocks), lambda b: F.when(F.length(b["block"]) > limit(b["order"]), F.concat(F.substring(b["block"], F.lit(1), limit(b["order"])), F.lit(CUT))).otherwise(b["block"]))
-    budget = F.lit(size - SPARE) - F.length("_s.header") - F.length("_s.footer")
+    budget = F.lit(size - SPARE) - F.length("_header") - F.length("_footer")
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
     fits = lambda acc, b: acc["used"] + F.length(b) + 2 <= F.col("_budget")
     packed = F.aggregate("_short", start, lambda acc, b: F.struct(F.when(fits(acc, b), acc["used"] + F.length(b) + 2).otherwise(acc["used"]).alias("used"), F.when(fits(acc, b), F.array_append(acc["kept"], b)).otherwise(acc["kept"]).alias("kept")))
     rows = rows.withColumns({"_short": shorter, "_budget": budget}).withColumn("_kept", packed["kept"])
-    total, kept = F.size("_s.blocks"), F.size("_kept")
+    total, kept = F.size("_blocks"), F.size("_kept")
     note = F.concat(F.lit("\n\n... [已展示 "), kept.cast("string"), F.lit("/"), total.cast("string"), F.lit(" 封邮件，"), (total - kept).cast("string"), F.lit(" 封因字符限制被省略]"))
-    parts = F.concat(F.array("_s.header"), F.transform("_kept", lambda b: F.concat(F.lit("\n"), b)), F.when(kept < total, F.array(note)).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("\n"), "_s.footer")))
-    out = F.when(F.length(text) <= size, text).when(total == 0, F.substring(text, 1, size)).when(F.col("_budget") <= 0, F.concat("_s.header", F.lit("\n"), "_s.footer")).otherwise(F.array_join(parts, "\n"))
+    parts = F.concat(F.array("_header"), F.transform("_kept", lambda b: F.concat(F.lit("\n"), b)), F.when(kept < total, F.array(note)).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("\n"), "_footer")))
+    out = F.when(F.length(text) <= size, text).when(total == 0, F.substring(text, 1, size)).when(F.col("_budget") <= 0, F.concat("_header", F.lit("\n"), "_footer")).otherwise(F.array_join(parts, "\n"))
     some = (F.length(text) > size) & (total > 0) & (F.col("_budget") > 0)
     return rows.withColumns(
         {
@@ -80,7 +82,7 @@ def trim(df: DataFrame, size: int = 100_000, column: str = "content") -> DataFra
             "trimmed": F.length(text) > size,
             column: out,
         }
-    ).withColumns({"trimmed_size": F.length(column).cast("bigint"), "emails_dropped": F.col("emails_total") - F.col("emails_kept")}).drop("_s", "_short", "_budget", "_kept")
+    ).withColumns({"trimmed_size": F.length(column).cast("bigint"), "emails_dropped": F.col("emails_total") - F.col("emails_kept")}).drop("_header", "_blocks", "_footer", "_short", "_budget", "_kept")
 
 
 def pack(commits: DataFrame, mails: DataFrame) -> DataFrame:

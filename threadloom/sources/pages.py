@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# How the id of a page's mail is made of its address's hash; the entities of pages.
+PAGE_ID = ("<lkml-", "@lkml.org>")
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")]
 
 
@@ -84,7 +86,7 @@ def mail_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
     day = F.regexp_replace(F.regexp_extract(url, r"/(\d{4}/\d{1,2}/\d{1,2})/", 1), "/", "-")
     rows = pages.select(url, parse(html).alias("p"))
-    key = F.concat(F.lit("<page-"), F.md5(url), F.lit("@pages>"))
+    key = F.concat(F.lit(PAGE_ID[0]), F.md5(url), F.lit(PAGE_ID[1]))
     return rows.select(F.coalesce(F.nullif("p.date", F.lit("")), day).alias("date"), "p.subject", F.col("p.from").alias("from"), "p.body", key.alias("message_id"), F.lit("").alias("in_reply_to"), F.col(url).alias("source_url"))
 
 
