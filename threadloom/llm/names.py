@@ -208,11 +208,13 @@ def link(emails: DataFrame, column: str = "from_email") -> DataFrame:
     # a shard is small, so the number of tasks is given: by size they would all go into a few
     spread = max(2, int(emails.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     typos = cut(shards.repartition(spread, "shard").groupBy("shard").applyInPandas(trie_join, "a string, b string").distinct())
-    # two names that each have an address of their own spelling them exactly are two senders
-    own = known.where("size(tokens) >= 2").select("name", F.exists("tokens", lambda t: (F.length(t) >= 4) & (F.contains("local", t) | (F.col("host") == t))).alias("own"), F.col("address")).where("own").groupBy("name").agg(F.collect_set("address").alias("owned"))
-    a, b = own.select(F.col("name").alias("a"), F.col("owned").alias("owned_a")), own.select(F.col("name").alias("b"), F.col("owned").alias("owned_b"))
-    judged = typos.join(a, "a", "left").join(b, "b", "left")
-    typos = judged.where(F.col("owned_a").isNull() | F.col("owned_b").isNull() | F.arrays_overlap("owned_a", "owned_b")).select("a", "b")
+    # two names whose differing words are each spelled by an address of their own are two senders
+    of = lambda c: names.select(F.col("name").alias(c), F.col("addresses").alias(f"at_{c}"))
+    differing = lambda x, y: F.get(F.array_except(F.split(x, " "), F.split(y, " ")), 0)
+    judged = typos.join(of("a"), "a").join(of("b"), "b").withColumns({"in_a": differing("a", "b"), "in_b": differing("b", "a")})
+    spelt = lambda c: F.exists(f"at_{c}", lambda x: F.contains(x, F.col(f"in_{c}"))) & (F.length(f"in_{c}") >= 4)
+    two = F.coalesce(spelt("a") & spelt("b"), F.lit(False)) & ~F.arrays_overlap("at_a", "at_b")
+    typos = judged.where(~two).select("a", "b")
 
     # forms that answer to one full name: expanded short forms, initials with a surname, addresses that spell a name
     plain = names.where(F.size("tokens") == 2).select("name", F.col("tokens")[0].alias("x"), F.col("tokens")[1].alias("y"))
