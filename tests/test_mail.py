@@ -173,3 +173,11 @@ def test_subject_tree(emails):
     ]
     got = {r["id"]: (r["parent_id"], r["how"]) for r in threads.subject_tree(emails(made)).collect()}
     assert got == {1: (None, "root"), 2: (1, "reply"), 3: (2, "quoted"), 4: (1, "time"), 5: (None, "root")}
+
+
+def test_fixed_paragraphs_see_their_neighbours():
+    data = "foo_bar  1,234,567\nbaz_qux  7,654,321"
+    assert bodies.fixed_paragraphs([data, "Base run", data]) == [True, True, True]
+    assert bodies.fixed_paragraphs([data, "This is fine.", data]) == [True, False, True]
+    assert bodies.fixed_paragraphs(["Label: value here", data, "prose text stands here for itself"]) == [True, True, False]
+    assert bodies.fixed_paragraphs(["Base run"]) == [False]

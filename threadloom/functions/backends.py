@@ -73,13 +73,12 @@ def with_retries(call: Callable[[str], str], attempts: int = 3, sleep: Callable[
 
 
 def translate_aligned(backend: TextBackend, body: str) -> list[tuple[str, str | None]]:
-    """(paragraph, translation) of a body's text; None where a paragraph stays as it is. Context is positional."""
+    """(paragraph, translation) of a body's text; None where a paragraph stays as it is."""
     if not bodies.should_translate(body):
         return []
     text, _ = bodies.split_diff(body)
     parts = bodies.paragraphs(text)
-    at = lambda k: parts[k] if 0 <= k < len(parts) else ""
-    return [(p, None if bodies.untranslatable_here(p, at(k - 1), at(k + 1)) else bodies.drop_backticks(backend.translate(bodies.merge_soft_breaks(p)))) for k, p in enumerate(parts)]
+    return [(p, None if fixed else bodies.drop_backticks(backend.translate(bodies.merge_soft_breaks(p)))) for p, fixed in zip(parts, bodies.fixed_paragraphs(parts), strict=True)]
 
 
 def translate_comments(backend: TextBackend, diff: str) -> str:

@@ -189,17 +189,20 @@ def untranslatable(paragraph: str) -> bool:
 SENTENCE_STARTS = {"this", "the", "a", "an", "it", "we", "i", "he", "she", "they", "you", "there", "here", "please", "also", "note"}
 
 
-def untranslatable_here(paragraph: str, before: str, after: str) -> bool:
-    """The same, with the neighbours: short headings and labels between data stay too."""
-    if untranslatable(paragraph):
-        return True
-    words = paragraph.split()
-    lines = [x for x in paragraph.strip().splitlines() if x.strip()]
-    sides = [bool(x) and untranslatable(x) for x in (before, after)]
-    sentence = paragraph.strip().endswith((".", "!", "?")) or bool(words) and words[0].lower() in SENTENCE_STARTS
-    if len(words) <= 5 and all(sides) and not sentence:
-        return True
-    return len(lines) <= 2 and any(sides) and all(re.match(r"\s*\w[\w\s]*:\s+\S", x) for x in lines)
+def fixed_paragraphs(parts: list[str]) -> list[bool]:
+    """Which paragraphs of a text stay as they are: by themselves, or as short headings and labels between data."""
+    alone = [untranslatable(p) for p in parts]
+    out = list(alone)
+    for k, p in enumerate(parts):
+        sides = [0 <= j < len(parts) and alone[j] for j in (k - 1, k + 1)]
+        if alone[k] or not any(sides):
+            continue
+        words = p.split()
+        lines = [x for x in p.strip().splitlines() if x.strip()]
+        sentence = p.strip().endswith((".", "!", "?")) or bool(words) and words[0].lower() in SENTENCE_STARTS
+        heading = len(words) <= 5 and all(sides) and not sentence
+        out[k] = heading or (len(lines) <= 2 and all(re.match(r"\s*\w[\w\s]*:\s+\S", x) for x in lines))
+    return out
 
 
 def merge_soft_breaks(text: str) -> str:
