@@ -150,7 +150,7 @@ class Model:
         code = ord(c)
         if (l.isascii() and l.isalpha()) or (r.isascii() and r.isalpha()):
             # letters of another script, symbols and controls don't stand in a Latin word
-            if 0x370 <= code < 0x530 or 0x2190 <= code < 0x2E80 or 0x80 <= code < 0xA0 or c in "¦¤¬¸¨¯´ˆ˜ˇ":
+            if 0x370 <= code < 0x530 or 0x2070 <= code < 0x20A0 or 0x2190 <= code < 0x2E80 or 0x80 <= code < 0xA0 or c in "¦¤¬¸¨¯´ˆ˜ˇ":
                 p *= 1e-3
             elif not c.isalpha() and c not in "’‘-–—·" and l.isalpha() and r.isalpha():
                 p *= 1e-3
@@ -161,7 +161,10 @@ class Model:
         return math.log(p)
 
     def text(self, left: str, run: str, right: str) -> float:
-        return sum(self.character(*k) for k in contexts(left, run, right))
+        whole = sum(self.character(*k) for k in contexts(left, run, right))
+        # scripts without blanks seldom touch Latin letters
+        touches = sum(ord(c) >= 0x2E80 and side.isascii() and side.isalpha() for c, side in ((run[:1], left), (run[-1:], right[:1])) if c)
+        return whole - 5.0 * touches
 
     def scores(self, place: tuple[str, str, str]) -> np.ndarray:
         if (found := self.known.get(place)) is None:
