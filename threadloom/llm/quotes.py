@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -28,8 +28,8 @@ from threadloom.operators import timestamps
 from threadloom.tables import cut, one_form
 
 
-def _looks(chars: str) -> set[str]:
-    """What characters look like when read in a wrong character set."""
+def _looks(chars: Iterable[str]) -> set[str]:
+    """What characters or phrases look like when read in a wrong character set."""
     out = set()
     for c in chars:
         for true, wrong in PAIRS:
@@ -64,6 +64,8 @@ FAREWELL = re.compile(
 )
 NOTICE = re.compile(r"(?i)^\s*(?:NOTICE:|CONFIDENTIAL|DISCLAIMER|The contents of this (?:message|e-?mail)|.{2,40} is a trading name|This (?:e-?mail|message|communication|transmission)\b.{0,60}(?:confidential|privileged|intended)|Diese (?:E-Mail|Nachricht)|Ce (?:message|courriel)|本邮件)")
 FOOTER = re.compile(r"(?i)^\s*(?:Sent from (?:my|a)\b|Sent (?:with|via|using)\b|Get \w+ for\b|Von unterwegs gesendet|Gesendet (?:von|mit)\b|Envoyé (?:de|depuis)\b|发自|来自我的|Отправлено с|iPhoneから送信|To unsubscribe\b|Unsubscribe:|\S.{0,60}\bmailing list\b\s*(?:--|:|$))")
+#: Closings whose words have a damage of their own.
+GARBLED = re.compile(rf"^\s*(?:{_either({x for x in _looks(['发自我的手机', '此致', '祝好', '本邮件及其附件', 'Mit freundlichen Grüßen', 'Viele Grüße']) if len(x) > 2})})")
 CODE = re.compile(r"^\s*(?:[+\-@#\[{}|]|diff |index [0-9a-f]|CONFIG_|\w[\w-]*-by:|Cc:|Fixes:|Link:|Result:|run \d)|[;{}]\s*$|\s\|\s+\d+ [+-]")
 TITLE = re.compile(r"\b(?:Engineer|Architect|Reliability|Developer|Manager|Director|Maintainer|team at|group|Street|Road|ext\.|desk|building)\b|^https?://\S+/people/|^[\"“].*[\"”]$|^\S+@\S+ \|")
 
@@ -113,7 +115,7 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int]]
     full = [bool(x) and not x.isspace() for x in lines]
     marked = [f and is_marked(x) for x, f in zip(lines, full, strict=True)]
     if sum(marked) < 2:  # one line that begins with a colon or bar is not a quotation, unless it is introduced
-        marked = [m and (x.lstrip()[:1] in ">»＞" or (k > 0 and bool(INTRODUCES.search(lines[k - 1])))) for k, (m, x) in enumerate(zip(marked, lines, strict=True))]
+        marked = [m and (x.lstrip()[:1] in ">»＞" or bool(INTRODUCES.search(next((lines[j] for j in (k - 1, k - 2) if j >= 0 and full[j]), "")))) for k, (m, x) in enumerate(zip(marked, lines, strict=True))]
     after = [n] * (n + 1)  # the next line that isn't blank
     for k in range(n - 1, -1, -1):
         after[k] = k if full[k] else after[k + 1]
@@ -168,7 +170,7 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int]]
     # the closing: from the first line that begins a signature, farewell, notice or footer
     def closes(k: int) -> bool:
         text = lines[k]
-        if NOTICE.match(text) or FOOTER.match(text):
+        if NOTICE.match(text) or FOOTER.match(text) or (not text.isascii() and GARBLED.match(text)):
             return True
         first = text.lstrip()[0]
         if (not first.isalnum() or first in _RULED) and RULE.match(text):
