@@ -76,6 +76,18 @@ def test_windows(emails):
     assert Q.not_new(emails([])).count() == 0
 
 
+def test_unmarked_text_of_mails_with_blank_links(emails):
+    text = "This sentence was written by the first author of it all\nand it goes on over a second line of some length here"
+    rows = [{"id": 1, "message_id": "<r>", "thread_id": "r", "date": "2024-01-01", "from_email": "a@x", "body": text}]
+    rows += [{"id": 2, "message_id": "<m>", "thread_id": "<r>", "refs": "<r>", "date": "2024-01-02", "from_email": "b@x", "body": "new words\n\n" + text}, {"id": 3, "message_id": "<n>", "thread_id": "<r>", "in_reply_to": " ", "refs": "", "date": "2024-01-03", "from_email": "c@x", "body": text}]
+    # stored again with other dates: the first mail of the thread, and an answer
+    mine = "The answer has two lines of its own that nobody else wrote\nso they stay new however often the mail is stored again"
+    rows += [{"id": 4, "message_id": "r", "thread_id": "<r>", "date": "2024-02-01", "from_email": "a@x", "body": text}]
+    rows += [{"id": 5 + k, "message_id": "<o>", "thread_id": "<r>", "refs": "<r>", "date": f"2024-01-0{4 + k}", "from_email": "d@x", "body": mine} for k in range(2)]
+    got = {(r["id"], r["line_no"]) for r in Q.not_new(emails(rows, extra=True)).collect()}
+    assert got == {(2, 3), (2, 4), (3, 1), (3, 2)}
+
+
 ENDS = {"。": (50, 50)}
 
 

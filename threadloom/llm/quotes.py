@@ -229,17 +229,21 @@ CLOSING, OFTEN, SHARE = 10, 3, 0.2
 
 
 def lines_of(emails: DataFrame) -> DataFrame:
-    """One row for each mail with a body: id, thread, sender, answer, at, old, own, spilled, said."""
+    """One row for each mail with a body: id, thread, message, sender, answer, at, old, own, spilled, said.
+
+    Links may be blank, so each mail that names another one or isn't the one its thread is named after is an answer.
+    """
+    linked = (F.trim(F.coalesce("in_reply_to", F.lit(""))) != "") | (F.trim(F.coalesce("refs", F.lit(""))) != "") | F.coalesce(one_form("message_id") != one_form("thread_id"), F.lit(True))
     mails = emails.where("body is not null").withColumn("sender", F.coalesce(F.col("from_email"), F.col("from_name"), F.lit("")))
-    mails = timestamps.normalise(mails.select("id", "sender", "body", "date", one_form("thread_id").alias("thread"), (F.coalesce("in_reply_to", F.lit("")) != "").alias("answer"), "created_at"), "date", F.lit("emails.date"))
-    mails = mails.select("id", "sender", "body", "thread", "answer", F.coalesce("utc_us", (F.col("created_at") * 1_000_000).cast("bigint"), F.lit(0)).alias("at"))
-    schema = "id bigint, thread bigint, sender bigint, answer boolean, at bigint, old array<int>, own array<struct<no:int,h:bigint,size:int>>, spilled array<struct<no:int,h:bigint>>, said array<bigint>"
+    mails = timestamps.normalise(mails.select("id", "sender", "body", "date", one_form("thread_id").alias("thread"), F.when(one_form("message_id").isNotNull(), F.xxhash64(one_form("message_id"))).alias("message"), linked.alias("answer"), "created_at"), "date", F.lit("emails.date"))
+    mails = mails.select("id", "sender", "body", "thread", "message", "answer", F.coalesce("utc_us", (F.col("created_at") * 1_000_000).cast("bigint"), F.lit(0)).alias("at"))
+    schema = "id bigint, thread bigint, message bigint, sender bigint, answer boolean, at bigint, old array<int>, own array<struct<no:int,h:bigint,size:int>>, spilled array<struct<no:int,h:bigint>>, said array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = pa.struct([("no", pa.int32()), ("h", pa.int64()), ("size", pa.int32())])
         spill = pa.struct([("no", pa.int32()), ("h", pa.int64())])
         for batch in batches:
-            col = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("id", "answer", "at")}
+            col = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("id", "message", "answer", "at")}
             shapes = [shape(b, s) for b, s in zip(col["body"], col["sender"], strict=True)]
             flatten = lambda k: [x for s in shapes for x in s[k]]
             starts = lambda k: pa.array([0, *accumulate(len(s[k]) for s in shapes)], pa.int32())
@@ -250,6 +254,7 @@ def lines_of(emails: DataFrame) -> DataFrame:
                 [
                     batch.column("id"),
                     pa.array([None if t is None else digest(t) for t in col["thread"]], pa.int64()),
+                    batch.column("message"),
                     pa.array([digest(s) for s in col["sender"]], pa.int64()),
                     batch.column("answer"),
                     batch.column("at"),
@@ -258,7 +263,7 @@ def lines_of(emails: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(starts(2), spills),
                     pa.ListArray.from_arrays(starts(3), pa.array(flatten(3), pa.int64())),
                 ],
-                names=["id", "thread", "sender", "answer", "at", "old", "own", "spilled", "said"],
+                names=["id", "thread", "message", "sender", "answer", "at", "old", "own", "spilled", "said"],
             )
 
     return mails.mapInArrow(run, schema)
@@ -269,7 +274,7 @@ def not_new(emails: DataFrame) -> DataFrame:
 
     Lines are numbered from 1 after splitting at a newline; a carriage return before it belongs to the break. Null and
     empty bodies have no lines; whole bodies are read, however long. Mails stored twice are judged each by itself: text of
-    a mail with the same date is not earlier text. Mails without a thread are judged by their form and sender alone.
+    a mail with the same date or the same message id is not earlier text. Mails without a thread are judged by their form and sender alone.
     An empty table gives no rows.
     """
     shaped = cut(lines_of(emails))
@@ -278,10 +283,13 @@ def not_new(emails: DataFrame) -> DataFrame:
     inside = shaped.where("thread is not null")
     telling = inside.select("thread", "at", F.explode("said").alias("h"))
     firsts = telling.groupBy("thread", "h").agg(F.min("at").alias("first_at"))
-    own = inside.where("answer").select("thread", "id", "at", F.explode(F.filter("own", lambda x: x["size"] >= TELLING)).alias("x"))
-    own = own.select("thread", "id", "at", F.col("x.no").alias("line_no"), F.col("x.h").alias("h"), F.lit(False).alias("spill"))
-    spilled = inside.select("thread", "id", "at", F.explode("spilled").alias("x")).select("thread", "id", "at", F.col("x.no").alias("line_no"), F.col("x.h").alias("h"), F.lit(True).alias("spill"))
-    seen = own.unionByName(spilled).join(firsts, ["thread", "h"]).where("first_at < at").select("id", "line_no", "spill")
+    own = inside.where("answer").select("thread", "id", "message", "at", F.explode(F.filter("own", lambda x: x["size"] >= TELLING)).alias("x"))
+    own = own.select("thread", "id", "message", "at", F.col("x.no").alias("line_no"), F.col("x.h").alias("h"), F.lit(False).alias("spill"))
+    spilled = inside.select("thread", "id", "message", "at", F.explode("spilled").alias("x")).select("thread", "id", "message", "at", F.col("x.no").alias("line_no"), F.col("x.h").alias("h"), F.lit(True).alias("spill"))
+    seen = own.unionByName(spilled).join(firsts, ["thread", "h"]).where("first_at < at")
+    # a mail stored again with another date doesn't quote itself
+    copies = inside.where("message is not null").select("thread", "message", F.col("at").alias("first_at"))
+    seen = seen.join(copies, ["thread", "message", "first_at"], "left_anti").select("id", "line_no", "spill")
     # one such line may be chance; two neighbouring ones are a quotation, and so is a spilled-over line
     mail = W.partitionBy("id").orderBy("line_no")
     near = seen.withColumns({"before": F.lag("line_no").over(mail), "behind": F.lead("line_no").over(mail)})
