@@ -88,6 +88,17 @@ def test_unmarked_text_of_mails_with_blank_links(emails):
     assert got == {(2, 3), (2, 4), (3, 1), (3, 2)}
 
 
+def test_short_lines_and_code_of_unmarked_quotations(emails):
+    text = "This sentence was written by the first author of it all\nand it goes on over a second line until its last word\nends.\n\n- one();\n+ two();\n\nA paragraph of one line that is long enough\n\nYes."
+    loose = "One line that stands in a paragraph alone\n\nAnother line that stands in a paragraph alone"
+    rows = [{"id": 1, "message_id": "<r>", "thread_id": "r", "date": "2024-01-01", "from_email": "a@x", "body": f"{text}\n\n{loose}"}]
+    rows += [{"id": 2, "thread_id": "r", "in_reply_to": "<r>", "date": "2024-01-02", "from_email": "b@x", "body": f"Yes.\nI agree with all of it.\n\n{text}\n\nNo.\nYes."}]
+    rows += [{"id": 3, "thread_id": "r", "in_reply_to": "<r>", "date": "2024-01-03", "from_email": "c@x", "body": f"Mine.\n\n{loose}"}]
+    rows += [{"id": 4, "thread_id": "r", "in_reply_to": "<r>", "date": "2024-01-04", "from_email": "d@x", "body": "A paragraph of one line that is long enough\n\nYes."}]
+    got = {(r["id"], r["line_no"]) for r in Q.not_new(emails(rows, extra=True)).collect()}
+    assert got == {(2, n) for n in (4, 5, 6, 8, 9, 11, 13)} | {(3, 3), (3, 5)}
+
+
 ENDS = {"。": (50, 50)}
 
 

@@ -19,7 +19,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,12 +103,16 @@ def _fold(text: str) -> set[str]:
     return {w for w in re.findall(r"[^\W\d_]+", plain.lower()) if len(w) > 1}
 
 
-def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int]], list[tuple[int, int]], list[int]]:
-    """(old, own, spilled, said) of one body.
+#: What an unmarked line is: long enough to show an unmarked quotation, code, old by its form.
+TELLS, IS_CODE, IS_OLD = 1, 2, 4
 
-    old: numbers of the lines that by their form are not newly written. own: the other lines that aren't blank, as
-    (number, hash, size). spilled: unmarked lines just below a marked one, as (number, hash of both together). said:
-    hashes of all unmarked telling lines above a copied header.
+
+def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """(old, said, spilled) of one body.
+
+    old: numbers of the lines that by their form are not newly written. said: all unmarked lines above a copied header
+    that aren't blank, as (number, place among the lines that aren't blank, hash, kind); kind is a sum of TELLS, IS_CODE
+    and IS_OLD. spilled: unmarked lines just below a marked one, as (number, hash of both together).
     """
     lines = [x.rstrip("\r") for x in body.split("\n")]
     n = len(lines)
@@ -209,16 +213,13 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int]]
                 old.add(k)  # a short line between two marked ones is the end of the line above
             else:
                 spilled.append((k + 1, digest(flat(above) + flat(lines[k]))))
-    own, said = [], []
+    said, place = [], 0
     for k in range(end):
+        place += full[k]
         if full[k] and not marked[k]:
             text = flat(lines[k])
-            h = digest(text)
-            if len(text) >= TELLING:
-                said.append(h)
-            if k not in old and not CODE.search(lines[k]):
-                own.append((k + 1, h, len(text)))
-    return sorted(k + 1 for k in old if full[k]), own, spilled, said
+            said.append((k + 1, place, digest(text), TELLS * (len(text) >= TELLING) | IS_CODE * bool(CODE.search(lines[k])) | IS_OLD * (k in old)))
+    return sorted(k + 1 for k in old if full[k]), said, spilled
 
 
 #: Lines shorter than this (letters and digits) can't show an unmarked quotation by themselves.
@@ -229,7 +230,7 @@ CLOSING, OFTEN, SHARE = 10, 3, 0.2
 
 
 def lines_of(emails: DataFrame) -> DataFrame:
-    """One row for each mail with a body: id, thread, message, sender, answer, at, old, own, spilled, said.
+    """One row for each mail with a body: id, thread, message, sender, answer, at, old, said, spilled.
 
     Links may be blank, so each mail that names another one or isn't the one its thread is named after is an answer.
     """
@@ -237,18 +238,18 @@ def lines_of(emails: DataFrame) -> DataFrame:
     mails = emails.where("body is not null").withColumn("sender", F.coalesce(F.col("from_email"), F.col("from_name"), F.lit("")))
     mails = timestamps.normalise(mails.select("id", "sender", "body", "date", one_form("thread_id").alias("thread"), F.when(one_form("message_id").isNotNull(), F.xxhash64(one_form("message_id"))).alias("message"), linked.alias("answer"), "created_at"), "date", F.lit("emails.date"))
     mails = mails.select("id", "sender", "body", "thread", "message", "answer", F.coalesce("utc_us", (F.col("created_at") * 1_000_000).cast("bigint"), F.lit(0)).alias("at"))
-    schema = "id bigint, thread bigint, message bigint, sender bigint, answer boolean, at bigint, old array<int>, own array<struct<no:int,h:bigint,size:int>>, spilled array<struct<no:int,h:bigint>>, said array<bigint>"
+    schema = "id bigint, thread bigint, message bigint, sender bigint, answer boolean, at bigint, old array<int>, said array<struct<no:int,place:int,h:bigint,kind:tinyint>>, spilled array<struct<no:int,h:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = pa.struct([("no", pa.int32()), ("h", pa.int64()), ("size", pa.int32())])
+        line = pa.struct([("no", pa.int32()), ("place", pa.int32()), ("h", pa.int64()), ("kind", pa.int8())])
         spill = pa.struct([("no", pa.int32()), ("h", pa.int64())])
         for batch in batches:
             col = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("id", "message", "answer", "at")}
             shapes = [shape(b, s) for b, s in zip(col["body"], col["sender"], strict=True)]
             flatten = lambda k: [x for s in shapes for x in s[k]]
             starts = lambda k: pa.array([0, *accumulate(len(s[k]) for s in shapes)], pa.int32())
-            own, spilled = flatten(1), flatten(2)
-            structs = pa.StructArray.from_arrays([pa.array([x[0] for x in own], pa.int32()), pa.array([x[1] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.int32())], fields=list(line))
+            said, spilled = flatten(1), flatten(2)
+            structs = pa.StructArray.from_arrays([pa.array([x[n] for x in said], f.type) for n, f in enumerate(line)], fields=list(line))
             spills = pa.StructArray.from_arrays([pa.array([x[0] for x in spilled], pa.int32()), pa.array([x[1] for x in spilled], pa.int64())], fields=list(spill))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -261,14 +262,35 @@ def lines_of(emails: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(starts(0), pa.array(flatten(0), pa.int32())),
                     pa.ListArray.from_arrays(starts(1), structs),
                     pa.ListArray.from_arrays(starts(2), spills),
-                    pa.ListArray.from_arrays(starts(3), pa.array(flatten(3), pa.int64())),
                 ],
-                names=["id", "thread", "message", "sender", "answer", "at", "old", "own", "spilled", "said"],
+                names=["id", "thread", "message", "sender", "answer", "at", "old", "said", "spilled"],
             )
 
     return mails.mapInArrow(run, schema)
 
 
+def is_(line: Column, kinds: int) -> Column:
+    """Whether a line of said is of any of the kinds."""
+    return line["kind"].bitwiseAND(F.lit(kinds)) != 0
+
+
+def quoted_runs(inside: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, line_no): the seeds of unmarked quotations with the lines beside them, also short ones, code and lines across
+    blank ones, that stand in the earlier mail too.
+
+    seeds(thread, id, line_no, first_at) names that mail by its time. Only mails with seeds and the mails they quote are
+    joined, and a run is made within one mail.
+    """
+    x = lambda c: F.col(f"x.{c}")
+    quoted = seeds.select("thread", "id", "first_at").distinct()
+    earlier = inside.select("thread", F.col("at").alias("first_at"), F.transform("said", lambda x: x["h"]).alias("hs")).join(quoted, ["thread", "first_at"]).select("id", F.explode("hs").alias("h")).distinct()
+    lines = inside.join(seeds.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.filter("said", lambda x: ~is_(x, IS_OLD))).alias("x"))
+    lines = lines.select("id", x("no").alias("line_no"), x("place").alias("place"), x("h").alias("h"))
+    also = lines.join(earlier, ["id", "h"], "left_semi").join(seeds.select("id", "line_no", F.lit(True).alias("seed")), ["id", "line_no"], "left")
+    run = also.withColumn("run", F.col("place") - F.row_number().over(W.partitionBy("id").orderBy("place")))
+    return run.withColumn("found", F.max("seed").over(W.partitionBy("id", "run"))).where("found").select("id", "line_no")
+
+
 def not_new(emails: DataFrame) -> DataFrame:
     """(id, line_no): each line of a body that is not blank and was not newly written by the mail's sender.
 
@@ -281,20 +303,25 @@ def not_new(emails: DataFrame) -> DataFrame:
     formal = shaped.select("id", F.explode("old").alias("line_no"))
     # first authors of telling lines in each thread
     inside = shaped.where("thread is not null")
-    telling = inside.select("thread", "at", F.explode("said").alias("h"))
+    telling = inside.select("thread", "at", F.explode(F.filter("said", lambda x: is_(x, TELLS))).alias("x")).select("thread", "at", F.col("x.h").alias("h"))
     firsts = telling.groupBy("thread", "h").agg(F.min("at").alias("first_at"))
-    own = inside.where("answer").select("thread", "id", "message", "at", F.explode(F.filter("own", lambda x: x["size"] >= TELLING)).alias("x"))
-    own = own.select("thread", "id", "message", "at", F.col("x.no").alias("line_no"), F.col("x.h").alias("h"), F.lit(False).alias("spill"))
-    spilled = inside.select("thread", "id", "message", "at", F.explode("spilled").alias("x")).select("thread", "id", "message", "at", F.col("x.no").alias("line_no"), F.col("x.h").alias("h"), F.lit(True).alias("spill"))
+    own = inside.where("answer").select("thread", "id", "message", "at", F.explode(F.filter("said", lambda x: is_(x, TELLS) & ~is_(x, IS_CODE | IS_OLD))).alias("x"))
+    own = own.select("thread", "id", "message", "at", F.col("x.no").alias("line_no"), F.col("x.place").alias("place"), F.col("x.h").alias("h"), F.lit(False).alias("spill"))
+    spilled = inside.select("thread", "id", "message", "at", F.explode("spilled").alias("x")).select("thread", "id", "message", "at", F.col("x.no").alias("line_no"), F.lit(None).cast("int").alias("place"), F.col("x.h").alias("h"), F.lit(True).alias("spill"))
     seen = own.unionByName(spilled).join(firsts, ["thread", "h"]).where("first_at < at")
     # a mail stored again with another date doesn't quote itself
     copies = inside.where("message is not null").select("thread", "message", F.col("at").alias("first_at"))
-    seen = seen.join(copies, ["thread", "message", "first_at"], "left_anti").select("id", "line_no", "spill")
-    # one such line may be chance; two neighbouring ones are a quotation, and so is a spilled-over line
+    seen = seen.join(copies, ["thread", "message", "first_at"], "left_anti").select("thread", "id", "line_no", "place", "first_at", "spill")
+    # one such line may be chance; two neighbouring ones are a quotation (of one mail, if blank lines part them), and so
+    # is a spilled-over line
+    seen = cut(seen)
     mail = W.partitionBy("id").orderBy("line_no")
-    near = seen.withColumns({"before": F.lag("line_no").over(mail), "behind": F.lead("line_no").over(mail)})
-    unmarked = near.where(F.col("spill") | (F.col("before") == F.col("line_no") - 1) | (F.col("behind") == F.col("line_no") + 1)).select("id", "line_no")
+    by = lambda way: (way("line_no").over(mail), way("place").over(mail), way("first_at").over(mail))
+    touches = lambda way, step: (by(way)[0] == F.col("line_no") + step) | ((by(way)[1] == F.col("place") + step) & (by(way)[2] == F.col("first_at")))
+    seeds = seen.withColumn("run", F.coalesce(touches(F.lag, -1), F.lit(False)) | F.coalesce(touches(F.lead, 1), F.lit(False))).where("run and not spill").select("thread", "id", "line_no", "first_at")
+    unmarked = quoted_runs(inside, cut(seeds)).unionByName(seen.where("spill").select("id", "line_no"))
     # closing lines that recur over a sender's mails, from the end inwards
+    shaped = shaped.select("id", "sender", F.filter("said", lambda x: ~is_(x, IS_CODE | IS_OLD)).alias("own"))
     place = F.col("pos") + F.greatest(F.lit(0), F.size("own") - CLOSING)
     last = shaped.select("id", "sender", "own", F.posexplode(F.slice("own", F.greatest(F.lit(1), F.size("own") - CLOSING + 1), CLOSING)).alias("pos", "x"))
     closing = last.select("id", "sender", F.col("x.no").alias("line_no"), F.col("x.h").alias("h"), (F.size("own") - place).alias("from_end"))
