@@ -52,6 +52,23 @@ def test_one_edit_in_any_order():
     assert N.trie_join(shard).values.tolist() == [["gamasing ming", "gamsaing ming"]]
 
 
+def test_names_within_one_edit_meet_in_a_shard(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.choice([2, 2, 3, 3, 4, 4, 5, 6, 7, 8])))
+    names = {" ".join(sorted([*rng.choice([["holm"], ["holm", "mia"], ["ab"]]), word()])) for _ in range(300)}
+    for name in [*names]:  # the longer words rarely lie near each other by chance
+        first, *rest = name.split()[::-1]
+        k = rng.randrange(len(first))
+        names.add(" ".join(sorted([*rest, first[:k] + rng.choice(["", "z", first[k] + "z", first[k : k + 2][::-1]]) + first[k + 1 :]])))
+    names |= {f"holm {w}" for w in ("jan", "jon", "asa", "saa", "wang", "wnag", "as", "zo", "zoe")}
+    names = sorted(n for n in names if min(map(len, n.split())) > 1)
+    want = {(a, b) for a in names for b in names if a < b and N.one_edit(a, b)}
+    rows = N.sharded(spark.createDataFrame([(n, n.split()) for n in names], "name string, tokens array<string>")).toPandas()
+    found = {tuple(p) for _, shard in rows.groupby("shard") for p in N.trie_join(shard).values.tolist()}
+    assert found == want
+    assert {("holm jan", "holm jon"), ("holm asa", "holm saa"), ("holm wang", "holm wnag"), ("holm as", "holm asa"), ("holm zo", "holm zoe")} <= found
+
+
 @pytest.mark.parametrize(
     ("text", "tokens", "address"),
     [

@@ -5,9 +5,9 @@ places in brackets, nicknames in quotes, single initials) into sorted tokens, so
 Links are drawn between keys, not between all members of a group:
 
 * texts with the same address, and names with the same tokens once short forms are expanded;
-* names within one edit (insertion, deletion, substitution or swap), found by a trie join: names are sharded by a token
-  they share exactly and by the first or last letters of the rest (one edit leaves one of them whole), each shard is
-  a trie, and the Levenshtein automaton of each name walks it; pairs found are checked token by token in every order;
+* names within one edit (insertion, deletion, substitution or swap), found by a trie join: names are sharded by all
+  their tokens but one and by the first or last letters of that one (one edit leaves one of them whole, except in words
+  of up to four letters, which have a shard without letters), each shard is a trie, and the Levenshtein automaton of each name walks it; pairs found are checked token by token in every order;
 * short forms and initials, and addresses that spell a name, where exactly one full name answers to them.
 
 Components come from repeated hooking to the smallest neighbour; nothing but distinct keys is ever shuffled, so a
@@ -153,6 +153,19 @@ def trie_join(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"])
 
 
+def sharded(names: DataFrame) -> DataFrame:
+    """(name, rest, shard) of names(name, tokens): names within one edit of each other meet in a shard by the words that
+    differ."""
+    parts = names.select("name", "tokens", F.posexplode("tokens").alias("pos", "rest"))
+    parts = parts.withColumn("whole", F.array_join(F.filter("tokens", lambda _, k: k != F.col("pos")), " "))
+    # one edit leaves the first or the last letters of a word whole: two of five letters or more, three of seven or more;
+    # words near a limit take the keys of both sides of it
+    size = F.length("rest")
+    ends = [F.when(when, F.concat_ws("|", "whole", F.lit(side), part)) for n, when in ((3, size >= 7), (2, size.between(4, 7))) for side, part in (("^", F.substring("rest", 1, n)), ("$", F.expr(f"right(rest, {n})")))]
+    ends.append(F.when(size <= 4, F.concat_ws("|", "whole", F.lit("-"))))
+    return parts.select("name", "rest", F.explode(F.array_compact(F.array(*ends))).alias("shard")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of undirected edges (a, b); the label is the smallest node of the component.
 
@@ -200,11 +213,7 @@ def link(emails: DataFrame, column: str = "from_email") -> DataFrame:
     names = cut(named.groupBy("name").agg(F.first("tokens").alias("tokens"), F.first("expanded").alias("expanded"), F.collect_set(F.concat("local", F.lit("@"), "host")).alias("addresses")))
 
     # names within one edit
-    rest = lambda k: F.array_join(F.array_remove(F.col("tokens"), k), " ")
-    shards = names.select("name", "tokens", F.explode(F.array_distinct("tokens")).alias("whole")).withColumn("rest", rest(F.col("whole"))).where("length(rest) >= 3")
-    # one edit leaves the first or the last letters of the rest whole; rests near the limit take keys of both lengths
-    ends = [F.when(when, F.concat_ws("|", "whole", F.lit(side), part)) for size, when in ((3, F.length("rest") >= 7), (2, F.length("rest") <= 7)) for side, part in (("^", F.substring("rest", 1, size)), ("$", F.expr(f"right(rest, {size})")))]
-    shards = shards.select("name", "rest", F.explode(F.array_compact(F.array(*ends))).alias("shard"))
+    shards = sharded(names)
     # a shard is small, so the number of tasks is given: by size they would all go into a few
     spread = max(2, int(emails.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     typos = cut(shards.repartition(spread, "shard").groupBy("shard").applyInPandas(trie_join, "a string, b string").distinct())
