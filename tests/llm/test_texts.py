@@ -135,7 +135,9 @@ def test_answers(spark, emails, threads):
 def test_spam(spark):
     rng = random.Random(5)
     nouns, verbs = "lock table lane budget cursor thread patch reader queue window".split(), "holds frees moves wakes drops".split()
-    honest = [" ".join(f"The {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)} before the {rng.choice(nouns)} is gone." for _ in range(6)) for _ in range(300)]
+    # no frame comes twice in an honest text: a text that says one sentence six times has repeated collocations
+    frames = ["The {} {} the {} before it is gone.", "We saw that this {} never {} our {} under load.", "Please check whether any {} still {} that {} after boot.", "On my machine one {} often {} a {} twice.", "Without it each {} slowly {} some {} again.", "I think your {} wrongly {} their {} on error.", "Later another {} quietly {} every {} at exit.", "Nobody knows why his {} sometimes {} her {} here."]
+    honest = [" ".join(f.format(rng.choice(nouns), rng.choice(verbs), rng.choice(nouns)) for f in rng.sample(frames, 6)) for _ in range(300)]
     shop = "cheap loan casino bonus discount hosting premium keygen replica watch insurance".split()
     stuffed = [" - ".join(" ".join(rng.sample(shop, 2)) for _ in range(3)) + " - " + " - ".join([" ".join(rng.sample(shop, 2))] * 20) for _ in range(20)]
     salad = ["Tags: " + ", ".join(rng.choice(shop + nouns) for _ in range(60)) for _ in range(10)]
@@ -146,6 +148,8 @@ def test_spam(spark):
     first = 3 + len(honest)
     want = set(range(first, first + 30)) | {len(texts) - 1}
     assert found == want
+    only_salad = {r["doc_id"] for r in S.kinds(df).where("2 * salad_chars > chars").collect()}
+    assert only_salad >= set(range(first + 20, first + 30)) and not only_salad & set(range(first))
     assert S.judge(df.limit(0)).count() == 0
     assert S.judge(df.limit(3)).count() == 0
 

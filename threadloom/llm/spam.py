@@ -1,16 +1,20 @@
-"""Keyword-stuffed pages and link lists.
-
-Texts are cut into paragraphs and words. Counts of words and of neighbouring words over the whole corpus (by document)
-give each list-like paragraph its mean pointwise mutual information: a salad of words that don't belong together has
-a low one. Within a document the share of neighbouring words that come again and again shows excessively repeated
-collocations. Paragraphs flagged so are the seeds of a word score, the log odds of a word in flagged against other
-paragraphs, which is then taken to all paragraphs and once more re-estimated; link lists, tags and product entries
-share the words of the salads and the repetitions. A document is flagged if more than half of its characters lie in such
-paragraphs. Paragraphs of which half the lines have the form of logs, settings, patches, trailers, test output or
-name lists are never of that sort.
-
-No table is broadcast but that of hot words: a paragraph has some tens of distinct words on average, so at most some
-tens x HOT words can each occur in more than 1/HOT of the paragraphs. All others are joined by shuffle.
+"""Keyword-stuffed pages and link lists, by pointwise mutual information and repeated collocations.
+
+Texts are cut into paragraphs and words. Over the whole corpus each pair of neighbouring words has its number of
+occurrences and its number of documents, and each word its number as left and as right neighbour. From these counts a
+paragraph gets two means over its neighbours:
+
+* pmi, the pointwise mutual information: a salad of words that don't belong together has a low one;
+* burst, the log of occurrences per document: collocations that come again and again within pages have a high one.
+
+A paragraph is of that sort if its pmi is below SALAD of the mean over all neighbours of the corpus, or if burst is more
+than REPEATED of its pmi, which is the part of the association that repetition within documents explains. A document is flagged if more than half of its characters
+lie in such paragraphs. Paragraphs of which half the lines have the form of logs, settings, patches, trailers, test
+output or name lists are the exact check: they have no words, whatever their counts.
+
+Every paragraph of two words or more is judged and every pair of words counts, however rare. Pairs are counted from
+partial sums. The only table broadcast is that of pairs more frequent than 1/WARM of all incidences of a pair in a
+paragraph, so it has less than WARM rows; all others are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -19,25 +23,30 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.tables import cut
 
-HOT = 50
 STRUCTURED = re.compile(
     r"^\s*(?:\[\s*\d+\.\d+\]|(?:# )?CONFIG_|(?:not )?ok \d+|TAP version|1\.\.\d+|[A-Z]:\s|[+\-] ?\t|[+\-@]{2}|[+-](?! )|diff --git|index [0-9a-f]+"
     r"|[*\-•]?\s*<?https?://[^\s/]+/(?:\w{1,2}/)?[0-9a-f]{6,}/?>?\s*$|[A-Z][a-z]+(?:-[A-Za-z]+)*-by:|(?:Cc|Fixes|Link|From|Subject|Date|To):|\S[^\n]*\(\d+\):$|\[\d+\]:?\s)"
 )
 WORD = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_]+(?:[’'][^\W\d_]+)?")
 IDENTIFIER = re.compile(r"\b\w*[a-z0-9]_\w+(?:\(\))?|\b(?:[a-z]+/)+[\w.-]+\.(?:c|h|S|rst)\b|\b[0-9a-f]{7,40}\b|\b0x[0-9a-f]+")
-SENTENCE = re.compile(r"[.!?。！？…:;](?=\s|$|[”\"')）])|[。！？]")
 UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]")
-#: Documents turned into words at a time.
-SLICE = 256
-PARAGRAPH = "doc_id bigint, para int, chars bigint, words array<string>, terms array<struct<word:string,k:int>>, size int, ends double, again double, variety double"
+#: Documents turned into words at a time, and how many different tokens a task remembers the words of.
+SLICE, REMEMBERED = 256, 200_000
+#: A pair is broadcast if it has more than 1/WARM of all incidences, so less than WARM pairs are.
+WARM = 100_000
+#: Below this part of the corpus's mean PMI a paragraph is a salad; above this part of its own PMI repetition is excessive.
+SALAD, REPEATED = 0.5, 0.07
+#: Occurrences and documents that every pair is given beside its own, so that rare pairs show no repetition.
+PRIOR = 5.0
 
 
 def words_of(text: str) -> list[str]:
@@ -51,101 +60,112 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, list[str], float, float, float]]:
-    """(characters, words, sentence ends per word, share of repeated neighbours, variety); no words where structured."""
-    parts = []
+class Words(dict):
+    """The hashes of the words of each token between blanks; forgotten when too many."""
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        made = self[token] = tuple(xxhash.xxh64_intdigest(w) - (1 << 63) for w in words_of(token))
+        return made
+
+
+def paragraphs(text: str, words: Words) -> Iterator[tuple[int, Counter]]:
+    """(characters, pairs of neighbouring words) of each paragraph; no pairs where structured."""
     for p in re.split(r"\n\s*\n", text):
-        lines = [x for x in p.split("\n") if x.strip()]
-        if lines:
-            plain = 2 * sum(bool(STRUCTURED.match(x)) for x in lines) < len(lines)
-            parts.append((len("".join(p.split())), words_of(p) if plain else [], len(SENTENCE.findall(p)) if plain else 0))
-    pairs = Counter(x for _, w, _ in parts for x in zip(w, w[1:], strict=False))
-    for chars, w, ends in parts:
-        near = list(zip(w, w[1:], strict=False))
-        yield chars, w, ends / max(1, len(w)), sum(pairs[x] >= 6 for x in near) / max(1, len(near)), len(set(w)) / max(1, len(w))
+        tokens = p.split()
+        if not tokens:
+            continue
+        lines = [x for x in p.split("\n") if x and not x.isspace()]
+        if 2 * sum(STRUCTURED.match(x) is not None for x in lines) >= len(lines):
+            yield sum(map(len, tokens)), Counter()
+        else:
+            near = [h for t in tokens for h in words[t]]
+            yield sum(map(len, tokens)), Counter(zip(near, near[1:], strict=False))
+
+
+PARAGRAPH = "doc_id bigint, para int, chars bigint, pairs array<struct<a:bigint,b:bigint,k:int,first:boolean>>"
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
-    """The paragraphs of all texts; null and blank texts have none."""
+    """The paragraphs of all texts with their distinct pairs, how often each stands there and whether it is the first
+    paragraph of the document with it; null and blank texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("word", pa.string()), ("k", pa.int32())])), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "para", "chars", "words", "terms", "size", "ends", "again", "variety"]
+        pair = [pa.field("a", pa.int64()), pa.field("b", pa.int64()), pa.field("k", pa.int32()), pa.field("first", pa.bool_())]
+        words = Words()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):  # words as objects take many times the room of their text
+            for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                rows = [(k, i, *p[:2], [{"word": w, "k": n} for w, n in Counter(p[1]).items()], len(p[1]), *p[2:]) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for i, p in enumerate(paragraphs(text))]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                ids, paras, chars, sizes = [], [], [], []
+                left, right, k, first = [], [], [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    seen: set = set()
+                    for i, (n, pairs) in enumerate(paragraphs(text, words) if text else ()):
+                        ids.append(doc)
+                        paras.append(i)
+                        chars.append(n)
+                        sizes.append(len(pairs))
+                        left += [x for x, _ in pairs]
+                        right += [y for _, y in pairs]
+                        k += pairs.values()
+                        first += [x not in seen for x in pairs]
+                        seen.update(pairs)
+                structs = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip((left, right, k, first), pair, strict=True)], fields=pair)
+                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), structs)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paras, pa.int32()), pa.array(chars, pa.int64()), lists], names=["doc_id", "para", "chars", "pairs"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PARAGRAPH)
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, value: str, hot: Column) -> DataFrame:
-    """rows with the value of each key: hot keys of the table are broadcast, their number has a bound; others are shuffled."""
-    few = table.where(hot).select(F.col(key), F.col(value).alias("hot_value"))
-    many = table.where(~hot).select(key, value)
-    tried = rows.join(F.broadcast(few), key, "left")
-    warm = tried.where("hot_value is not null").withColumnRenamed("hot_value", value)
-    return warm.unionByName(tried.where("hot_value is null").drop("hot_value").join(many, key))
-
-
-def mean_pmi(paras: DataFrame, total: int) -> DataFrame:
-    """(doc_id, para, pmi): the mean pointwise mutual information of neighbouring words of list-like paragraphs.
+def collocations(paras: DataFrame) -> DataFrame:
+    """(a, b, n, occ, pmi, burst) of every pair of neighbouring words of the corpus; n is its number of paragraphs.
 
-    Counts are by paragraph: each row has its distinct words and pairs, so counting needs one shuffle of partial sums.
+    The counts of words are sums over the table of pairs, which is much smaller than the corpus; a frequent word is
+    summed before the shuffle, and its rows in the joins are left to AQE's splitting of skewed partitions.
     """
-    pairs = F.transform(F.sequence(F.lit(0), F.col("size") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
-    near = paras.where("size >= 2").select("doc_id", "para", "ends", "size", pairs.alias("pairs"))
-    word = paras.select(F.explode("terms.word").alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", "n", F.log("n").alias("log_n"))
-    pair = near.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).select("pair", "n", F.log("n").alias("log_n"))
-    open_ = near.where(LIST_LIKE)
-    common = F.col("n") > max(1, total // HOT)
-    up = look_up(open_.select("doc_id", "para", F.explode("pairs").alias("pair")), pair, "pair", "log_n", common).groupBy("doc_id", "para").agg(F.sum("log_n").alias("up"), F.count("*").alias("k"))
-    # each word counts as often as it is a neighbour: twice, but once at either end
-    ends = paras.where(LIST_LIKE).select("doc_id", "para", F.posexplode("words").alias("pos", "word"), "size")
-    weight = F.when((F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1), 1).otherwise(2)
-    down = look_up(ends.select("doc_id", "para", "word", weight.alias("w")), word, "word", "log_n", common).groupBy("doc_id", "para").agg(F.sum(F.col("log_n") * F.col("w")).alias("down"))
-    mean = (F.col("up") - F.col("down")) / F.col("k") + F.log(F.lit(float(total)))
-    return up.join(down, ["doc_id", "para"]).select("doc_id", "para", mean.alias("pmi"))
-
-
-LIST_LIKE = "size >= 12 and ends < 0.02"
-#: Below this mean PMI a list-like paragraph is a salad; above these shares its collocations are repeated too often.
-SALAD, REPEATED_LIST, REPEATED_ANY, LOW_VARIETY = -0.3, 0.4, 0.5, 0.3
-#: Mean word score above which a paragraph is of that sort, and how many known words it must have.
-SCORE, LEAST = 0.5, 5
-
-
-def word_scores(marked: DataFrame) -> DataFrame:
-    """(word, odds, n) from (terms, bad) of paragraphs: the log odds of a word in bad paragraphs, at most 4 either way."""
-    sizes = marked.agg(F.sum(F.col("bad").cast("long")).alias("b"), F.count("*").alias("all")).first()
-    bad, rest = sizes["b"] or 0, (sizes["all"] or 0) - (sizes["b"] or 0)
-    seen = marked.select("bad", F.explode("terms.word").alias("word")).groupBy("word").agg(F.sum(F.col("bad").cast("long")).alias("s"), F.count("*").alias("n")).where("n >= 3")
-    odds = F.log((F.col("s") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("s") + 0.5) / (rest + 1.0))
-    return seen.select("word", "n", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), odds)).alias("odds"))
-
-
-def score(paras: DataFrame, scores: DataFrame, count: int) -> DataFrame:
-    """paras (doc_id, para, chars, size, terms) with bad, by the mean word score."""
-    counted = paras.where(F.col("size") >= LEAST).select("doc_id", "para", F.inline("terms"))
-    summed = look_up(counted, scores, "word", "odds", F.col("n") > max(1, count // HOT)).groupBy("doc_id", "para").agg(F.sum(F.col("odds") * F.col("k")).alias("sum"), F.sum("k").alias("known"))
-    return paras.join(summed, ["doc_id", "para"], "left").withColumn("bad", F.coalesce((F.col("known") >= LEAST) & (F.col("sum") / F.col("size") > SCORE), F.lit(False))).drop("sum", "known")
-
-
-def judge(docs: DataFrame, rounds: int = 2) -> DataFrame:
-    """(doc_id, chars, bad_chars, share): every document with text and how much of it is of that sort.
+    pair = paras.select(F.inline("pairs")).groupBy("a", "b").agg(F.sum("k").alias("occ"), F.sum(F.col("first").cast("long")).alias("docs"), F.count("*").alias("n"))
+    pair = cut(pair)
+    left = pair.groupBy("a").agg(F.sum("occ").alias("na"))
+    right = pair.groupBy("b").agg(F.sum("occ").alias("nb"))
+    total = pair.agg(F.sum("occ")).first()[0] or 1
+    pmi = F.log("occ") + F.log(F.lit(float(total))) - F.log("na") - F.log("nb")
+    burst = F.log((F.col("occ") + PRIOR) / (F.col("docs") + PRIOR))
+    return pair.join(left, "a").join(right, "b").select("a", "b", "n", "occ", pmi.alias("pmi"), burst.alias("burst"))
+
+
+def means(paras: DataFrame) -> DataFrame:
+    """(doc_id, para, chars, pmi, burst, usual): the means over the neighbours of each paragraph that has two words or
+    more; usual is the mean pmi over all neighbours of the corpus."""
+    known = cut(collocations(paras))
+    incidences, usual = known.agg(F.sum("n"), F.sum(F.col("pmi") * F.col("occ")) / F.sum("occ")).first()
+    incidences, usual = incidences or 1, usual or 0.0
+    warm = F.col("n") > incidences / WARM
+    hot = F.broadcast(known.where(warm).select("a", "b", F.col("pmi").alias("hot_pmi"), F.col("burst").alias("hot_burst")))
+    tried = paras.select("doc_id", "para", "chars", F.inline("pairs")).drop("first").join(hot, ["a", "b"], "left")
+    sums = lambda df, pmi, burst: df.groupBy("doc_id", "para", "chars").agg(F.sum(F.col("k") * F.col(pmi)).alias("up"), F.sum(F.col("k") * F.col(burst)).alias("again"), F.sum("k").alias("k"))
+    cold = tried.where("hot_pmi is null").select("doc_id", "para", "chars", "a", "b", "k").join(known.where(~warm).select("a", "b", "pmi", "burst"), ["a", "b"])
+    both = sums(tried.where("hot_pmi is not null"), "hot_pmi", "hot_burst").unionByName(sums(cold, "pmi", "burst"))
+    return both.groupBy("doc_id", "para", "chars").agg((F.sum("up") / F.sum("k")).alias("pmi"), (F.sum("again") / F.sum("k")).alias("burst"), F.lit(usual).alias("usual"))
+
+
+def kinds(docs: DataFrame) -> DataFrame:
+    """(doc_id, chars, bad_chars, salad_chars, share): every document with text, how much of it is of that sort, and how
+    much of that by a low PMI.
 
     Null, empty and blank texts have no row. Repeated texts each count, and count in the corpus as often as they
     occur. doc_id must be unique. Extra columns are not read; an empty table gives an empty one.
     """
     paras = cut(cut_texts(docs))
-    total = paras.count()
-    pmi = mean_pmi(paras, max(1, total))
-    listed = F.expr(LIST_LIKE) & ((F.col("pmi") < SALAD) | (F.col("again") > REPEATED_LIST))
-    seeds = ((F.col("again") > REPEATED_ANY) & (F.col("variety") < LOW_VARIETY)) | F.coalesce(listed, F.lit(False))
-    marked = cut(paras.join(pmi, ["doc_id", "para"], "left").withColumn("bad", F.coalesce(seeds, F.lit(False))).select("doc_id", "para", "chars", "size", "terms", "bad"))
-    for _ in range(rounds):
-        marked = cut(score(marked.drop("bad"), word_scores(marked.where("size >= 8")), max(1, total)))
-    bad = F.sum(F.when(F.col("bad"), F.col("chars")).otherwise(0))
-    return marked.groupBy("doc_id").agg(F.sum("chars").alias("chars"), bad.alias("bad_chars")).withColumn("share", F.col("bad_chars") / F.col("chars"))
+    salad, repeated = F.col("pmi") < SALAD * F.col("usual"), F.col("burst") > REPEATED * F.col("pmi")
+    chars = lambda when: F.when(when, F.col("chars")).otherwise(0)
+    none = F.lit(0).cast("bigint")
+    found = means(paras).where(salad | repeated).select("doc_id", none.alias("chars"), F.col("chars").alias("bad_chars"), chars(salad).alias("salad_chars"))
+    rows = paras.select("doc_id", "chars", none.alias("bad_chars"), none.alias("salad_chars")).unionByName(found)
+    summed = rows.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("chars", "bad_chars", "salad_chars")))
+    return summed.withColumn("share", F.col("bad_chars") / F.col("chars"))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """(doc_id, chars, bad_chars, share) of every document with text; see kinds."""
+    return kinds(docs).drop("salad_chars")
