@@ -27,7 +27,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.tables import cut
@@ -84,7 +84,9 @@ def paragraphs(text: str, words: Words) -> Iterator[tuple[int, Counter]]:
             yield sum(map(len, tokens)), Counter(zip(near, near[1:], strict=False))
 
 
-PARAGRAPH = "doc_id bigint, para int, chars bigint, pairs array<struct<a:bigint,b:bigint,k:int,first:boolean>>"
+#: One array a field: an array of structs takes more than twice the room. k is negative in the first paragraph of a
+#: document with the pair.
+PARAGRAPH = "doc_id bigint, para int, chars bigint, a array<bigint>, b array<bigint>, k array<int>"
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
@@ -92,13 +94,12 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     paragraph of the document with it; null and blank texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = [pa.field("a", pa.int64()), pa.field("b", pa.int64()), pa.field("k", pa.int32()), pa.field("first", pa.bool_())]
         words = Words()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 ids, paras, chars, sizes = [], [], [], []
-                left, right, k, first = [], [], [], []
+                left, right, k = [], [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     seen: set = set()
                     for i, (n, pairs) in enumerate(paragraphs(text, words) if text else ()):
@@ -108,23 +109,27 @@ def cut_texts(docs: DataFrame) -> DataFrame:
                         sizes.append(len(pairs))
                         left += [x for x, _ in pairs]
                         right += [y for _, y in pairs]
-                        k += pairs.values()
-                        first += [x not in seen for x in pairs]
+                        k += [n if x in seen else -n for x, n in pairs.items()]
                         seen.update(pairs)
-                structs = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip((left, right, k, first), pair, strict=True)], fields=pair)
-                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), structs)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paras, pa.int32()), pa.array(chars, pa.int64()), lists], names=["doc_id", "para", "chars", "pairs"])
+                starts = pa.array([0, *accumulate(sizes)], pa.int32())
+                lists = [pa.ListArray.from_arrays(starts, pa.array(v, kind)) for v, kind in ((left, pa.int64()), (right, pa.int64()), (k, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paras, pa.int32()), pa.array(chars, pa.int64()), *lists], names=["doc_id", "para", "chars", "a", "b", "k"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PARAGRAPH)
 
 
+def pairs_of() -> Column:
+    """The pairs of a paragraph as rows (a, b, k)."""
+    return F.inline(F.arrays_zip("a", "b", "k"))
+
+
 def collocations(paras: DataFrame) -> DataFrame:
     """(a, b, n, occ, pmi, burst) of every pair of neighbouring words of the corpus; n is its number of paragraphs.
 
     The counts of words are sums over the table of pairs, which is much smaller than the corpus; a frequent word is
     summed before the shuffle, and its rows in the joins are left to AQE's splitting of skewed partitions.
     """
-    pair = paras.select(F.inline("pairs")).groupBy("a", "b").agg(F.sum("k").alias("occ"), F.sum(F.col("first").cast("long")).alias("docs"), F.count("*").alias("n"))
+    pair = paras.select(pairs_of()).groupBy("a", "b").agg(F.sum(F.abs("k")).alias("occ"), F.count_if(F.col("k") < 0).alias("docs"), F.count("*").alias("n"))
     pair = cut(pair)
     left = pair.groupBy("a").agg(F.sum("occ").alias("na"))
     right = pair.groupBy("b").agg(F.sum("occ").alias("nb"))
@@ -142,7 +147,7 @@ def means(paras: DataFrame) -> DataFrame:
     incidences, usual = incidences or 1, usual or 0.0
     warm = F.col("n") > incidences / WARM
     hot = F.broadcast(known.where(warm).select("a", "b", F.col("pmi").alias("hot_pmi"), F.col("burst").alias("hot_burst")))
-    tried = paras.select("doc_id", "para", "chars", F.inline("pairs")).drop("first").join(hot, ["a", "b"], "left")
+    tried = paras.select("doc_id", "para", "chars", pairs_of()).withColumn("k", F.abs("k")).join(hot, ["a", "b"], "left")
     sums = lambda df, pmi, burst: df.groupBy("doc_id", "para", "chars").agg(F.sum(F.col("k") * F.col(pmi)).alias("up"), F.sum(F.col("k") * F.col(burst)).alias("again"), F.sum("k").alias("k"))
     cold = tried.where("hot_pmi is null").select("doc_id", "para", "chars", "a", "b", "k").join(known.where(~warm).select("a", "b", "pmi", "burst"), ["a", "b"])
     both = sums(tried.where("hot_pmi is not null"), "hot_pmi", "hot_burst").unionByName(sums(cold, "pmi", "burst"))
