@@ -48,7 +48,10 @@ def test_one_edit_in_any_order():
     assert N.one_edit("gamasing minghao", "gamsaing minghao")
     assert not N.one_edit("gamasing minghao", "gamasing michael")
     assert not N.one_edit("a b", "a b")
-    shard = pd.DataFrame({"shard": "x", "rest": ["gamasing", "gamsaing", "other"], "name": ["gamasing ming", "gamsaing ming", "ming other"]})
+    assert N.one_edit("john smith", "jhn smyth") and N.one_edit("anna carla silva", "carla silva xnna")
+    assert not N.one_edit("john smith", "jhn smxyth") and not N.one_edit("li bo", "lo ba")
+    rest, name = ["gamasing", "gamsaing", "other"], ["gamasing ming", "gamsaing ming", "ming other"]
+    shard = pd.DataFrame({"rest": rest * 2, "name": name * 2, "seeks": [False] * 3 + [True] * 3})
     assert N.trie_join(shard).values.tolist() == [["gamasing ming", "gamsaing ming"]]
 
 
@@ -61,12 +64,14 @@ def test_names_within_one_edit_meet_in_a_shard(spark):
         k = rng.randrange(len(first))
         names.add(" ".join(sorted([*rest, first[:k] + rng.choice(["", "z", first[k] + "z", first[k : k + 2][::-1]]) + first[k + 1 :]])))
     names |= {f"holm {w}" for w in ("jan", "jon", "asa", "saa", "wang", "wnag", "as", "zo", "zoe")}
+    names |= {"john smith", "jhn smyth", "anna carla silva", "carla silva xnna", "ana lopez maria", "lopez maria nna", "li wu", "li wo", "hmslo kennethe", "holms kenneht"}
     names = sorted(n for n in names if min(map(len, n.split())) > 1)
     want = {(a, b) for a in names for b in names if a < b and N.one_edit(a, b)}
-    rows = N.sharded(spark.createDataFrame([(n, n.split()) for n in names], "name string, tokens array<string>")).toPandas()
-    found = {tuple(p) for _, shard in rows.groupby("shard") for p in N.trie_join(shard).values.tolist()}
-    assert found == want
-    assert {("holm jan", "holm jon"), ("holm asa", "holm saa"), ("holm wang", "holm wnag"), ("holm as", "holm asa"), ("holm zo", "holm zoe")} <= found
+    df = spark.createDataFrame([(n, n.split()) for n in names], "name string, tokens array<string>")
+    for block in (2000, 7):  # whole shards, and shards of many blocks
+        assert {tuple(r) for r in N.neighbours(df, 4, block).collect()} == want
+    assert {("holm jan", "holm jon"), ("holm asa", "holm saa"), ("holm wang", "holm wnag"), ("holm as", "holm asa"), ("holm zo", "holm zoe"), ("jhn smyth", "john smith"), ("anna carla silva", "carla silva xnna")} <= want
+    assert ("li wo", "li wu") not in want  # half of a two-letter word
 
 
 @pytest.mark.parametrize(
@@ -108,3 +113,12 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(40)] + [("x", "y")], "a string, b string")
     got = {r["node"]: r["label"] for r in N.components(edges).collect()}
     assert got == {f"n{k:02}": "n00" for k in range(41)} | {"x": "x", "y": "x"}
+    assert {r["node"]: r["label"] for r in N.components(edges, few=3).collect()} == got
+    assert N.components(edges.limit(0)).count() == 0
+
+
+def test_lost_letters_and_short_forms(emails):
+    senders = ["Alexander Nod\ufffddow <web1@mail.example>", "Alexander Nodaldow <a.n@firm.example>", "Haru Pamukay <web2@mail.example>", "Haruto Pamukay <h.p@firm.example>", "Harto Pamukay <h.p@firm.example>", "Hara Silvester <x@y>", "Harald Silvester <z@y>", "Hariet Silvester <w@y>"]
+    got = {r["sender"]: r["entity"] for r in N.link(emails([{"id": k, "from_email": s} for k, s in enumerate(senders)])).collect()}
+    assert got[senders[0]] != "" and len({got[s] for s in senders[2:5]}) == 1 and len({got[s] for s in senders[5:]}) == 3
+    assert N.parse(senders[0])["tokens"] == ["alexander", f"nod{N.UNKNOWN}dow"]

@@ -46,6 +46,11 @@ def p3_senders(t: Tables) -> DataFrame:
     return names.link(t.emails).groupBy("entity").agg(F.count("*").alias("spellings"), F.min("sender").alias("first_spelling"))
 
 
+@registry.add("p3_members")
+def p3_members(t: Tables) -> DataFrame:
+    return names.link(t.emails)
+
+
 @registry.add("p10_found")
 def p10_found(t: Tables) -> DataFrame:
     return spam.judge(t.documents).where("share > 0.5").select("doc_id")
