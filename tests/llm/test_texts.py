@@ -99,7 +99,8 @@ def test_short_lines_and_code_of_unmarked_quotations(emails):
     assert got == {(2, n) for n in (4, 5, 6, 8, 9, 11, 13)} | {(3, 3), (3, 5)}
 
 
-ENDS = {"。": (50, 50)}
+ENDS = {("sentences", "。"): (50, 100), ("sentences", "H"): (1, 3000), ("sentences", "."): (1, 900), ("heading", "H"): (50, 600), ("unknown", "。"): (9, 9)}
+COPY = "The lock is taken twice here and nobody on the list has seen why the second reader waits for the first one"
 
 
 @pytest.mark.parametrize(
@@ -112,6 +113,9 @@ ENDS = {"。": (50, 50)}
         ("+\tfoo_bar(ctx);", "+\tfoo_bar(ctx);", None), ("CONFIG_A=y", "CONFIG_A=y", None), ("Fixes: abcdef123456 (\"x y\")", "Fixes: abcdef123456 (\"x y\")", None),
         ("Une phrase tout autre que celle qui fut demandée.", "The lock is taken twice here.", "wrong_language"), ("함수에서 잠금이 두 번 잡히는 문제가 있습니다.", "The lock.", "wrong_language"),
         ("这里的锁会被获取两", "The lock is taken twice here.", "truncated"), ("这里的锁会被…", "The lock is taken twice here.", "truncated"), ("第一句。", "First one. Second one. Third one.", "truncated"),
+        (COPY.replace("seen why", "asked why"), COPY, "copied"), ("主题“" + COPY[:60], COPY[:70], "truncated"), ("这句话停在 io/ledger/stripe-seal.", "It stops in io/ledger/stripe-seal.c here.", "truncated"),
+        ("很抱歉，我无法翻译这段内容。" + "这里有很多别的话。" * 60, "x y.", "refusal"), ("这里有很多别的话。" * 60 + "请提供需要翻译的原文。", "One. " * 60, "refusal"),
+        ("We cannot refuse the request at this point.", "We cannot refuse the request at this point.", "copied"), ("plan for the “slow” path of it", "Plan for the “slow” path of it", "copied"),
         ("第一句。第二句。第三句。", "First one. Second one. Third one.", None), ("基准测试环境", "Benchmark setup", None),
     ],
 )
