@@ -88,6 +88,18 @@ def test_unmarked_text_of_mails_with_blank_links(emails):
     assert got == {(2, 3), (2, 4), (3, 1), (3, 2)}
 
 
+def test_authorship_covers_marked_lines_and_long_closings(emails):
+    closing = "\n".join(f"closing line number {c}" for c in "abcdefghijklmnop")
+    rows = [{"id": 1, "thread_id": "r", "message_id": "<r>", "date": "2024-01-01", "from_email": "a@x", "body": "The first words.\nYes."}]
+    rows += [{"id": 2, "thread_id": "r", "message_id": "<s>", "in_reply_to": "<r>", "date": "2024-01-02", "from_email": "b@x", "body": "> The first words.\n> Yes.\n> Unknown.\nMine."}]
+    rows += [{"id": 10 + k, "message_id": f"<u{k}>", "from_email": "c@x", "body": f"unique number {k} of the mails\n{closing}"} for k in range(4)]
+    rows += [{"id": 20 + k, "message_id": "<same>", "from_email": "d@x", "body": "one mail\nstored thrice"} for k in range(3)]
+    got = {}
+    for r in Q.by_rule(emails(rows, extra=True)).collect():
+        got.setdefault((r["id"], r["line_no"]), set()).add(r["rule"])
+    assert got == {(2, 1): {"author", "form"}, (2, 2): {"author", "form"}, (2, 3): {"form"}} | {(10 + k, n): {"closing"} for k in range(4) for n in range(2, 18)}
+
+
 def test_short_lines_and_code_of_unmarked_quotations(emails):
     text = "This sentence was written by the first author of it all\nand it goes on over a second line until its last word\nends.\n\n- one();\n+ two();\n\nA paragraph of one line that is long enough\n\nYes."
     loose = "One line that stands in a paragraph alone\n\nAnother line that stands in a paragraph alone"

@@ -69,3 +69,9 @@ def p7_found(t: Tables) -> DataFrame:
 @registry.add("p5_found")
 def p5_found(t: Tables) -> DataFrame:
     return quotes.not_new(t.emails)
+
+
+@registry.add("p5_rules")
+def p5_rules(t: Tables) -> DataFrame:
+    ways = quotes.by_rule(t.emails).groupBy("id", "line_no").agg(F.array_join(F.array_sort(F.collect_set("rule")), "+").alias("rules"))
+    return ways.groupBy("rules").agg(F.count("*").alias("lines"))

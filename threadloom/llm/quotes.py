@@ -1,9 +1,10 @@
 """Each mail reduced to the text its sender newly wrote.
 
-Bodies become normalised lines. Within a thread the mail that had a line first, by date, is its author; later
-occurrences in unmarked quotations and words spilled over from a quoted line are found by that. The closing lines of
-mails (those at the end) that recur over a sender's mails are taken off from the end inwards, with SQL windows.
-What single mails show by their form is judged line by line: quotation marks, lines that introduce quotations, copied
+Bodies become normalised lines, without quotation marks. Within a thread the mail that had a line first, by date, is its
+author; later occurrences are not new: marked ones at once, unmarked ones where two neighbouring lines show a quotation,
+and words spilled over from a quoted line. The closing lines of mails that recur over a sender's mails are taken off from
+the end inwards, with SQL windows. `by_rule` tells which lines each way finds.
+Text of mails that the thread doesn't hold, and what belongs to no earlier mail, shows by its form, line by line: quotation marks, lines that introduce quotations, copied
 headers and all below them, signature blocks, farewells, notices, list and client footers, version lines of patches.
 
 Only hashes of lines are shuffled. First authors are a minimum by thread and line, taken before the shuffle, so that a
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -103,16 +105,15 @@ def _fold(text: str) -> set[str]:
     return {w for w in re.findall(r"[^\W\d_]+", plain.lower()) if len(w) > 1}
 
 
-#: What an unmarked line is: long enough to show an unmarked quotation, code, old by its form.
-TELLS, IS_CODE, IS_OLD = 1, 2, 4
+#: What a line is: long enough to show an unmarked quotation, code, old by its form, marked or below a copied header.
+TELLS, IS_CODE, IS_OLD, IS_SHOWN = 1, 2, 4, 8
 
 
 def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int, int]], list[tuple[int, int]]]:
     """(old, said, spilled) of one body.
 
-    old: numbers of the lines that by their form are not newly written. said: all unmarked lines above a copied header
-    that aren't blank, as (number, place among the lines that aren't blank, hash, kind); kind is a sum of TELLS, IS_CODE
-    and IS_OLD. spilled: unmarked lines just below a marked one, as (number, hash of both together).
+    old: numbers of the lines that by their form are not newly written. said: all lines that aren't blank, as (number, place
+    among the lines that aren't blank, hash without marks, kind); kind is a sum of TELLS, IS_CODE, IS_OLD and IS_SHOWN. spilled: unmarked lines just below a marked one, as (number, hash of both together).
     """
     lines = [x.rstrip("\r") for x in body.split("\n")]
     n = len(lines)
@@ -214,23 +215,26 @@ def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int,
             else:
                 spilled.append((k + 1, digest(flat(above) + flat(lines[k]))))
     said, place = [], 0
-    for k in range(end):
+    for k in range(n):
         place += full[k]
-        if full[k] and not marked[k]:
-            text = flat(lines[k])
-            said.append((k + 1, place, digest(text), TELLS * (len(text) >= TELLING) | IS_CODE * bool(CODE.search(lines[k])) | IS_OLD * (k in old)))
+        if full[k]:
+            shown = marked[k] or k >= end
+            text = flat(MARK.sub("", lines[k]) if marked[k] else lines[k])
+            if not text:
+                continue  # a mark alone
+            said.append((k + 1, place, digest(text), TELLS * (len(text) >= TELLING) | IS_CODE * bool(CODE.search(lines[k])) | IS_OLD * (k in old) | IS_SHOWN * shown))
     return sorted(k + 1 for k in old if full[k]), said, spilled
 
 
 #: Lines shorter than this (letters and digits) can't show an unmarked quotation by themselves.
 TELLING = 28
-#: How many lines at the end of what a sender wrote may be a closing, and how often (and in which share of the sender's
-#: mails) a line must stand there.
-CLOSING, OFTEN, SHARE = 10, 3, 0.2
+#: In how many of a sender's mails, and in which share of them, a closing line must stand.
+OFTEN, SHARE = 3, 0.2
 
 
 def lines_of(emails: DataFrame) -> DataFrame:
-    """One row for each mail with a body: id, thread, message, sender, answer, at, old, said, spilled.
+    """One row for each mail with a body: id, thread, message, sender, answer, at, old, and said (no, place, h, kind) and
+    spilled as one array a field, which take half the room of structs.
 
     Links may be blank, so each mail that names another one or isn't the one its thread is named after is an answer.
     """
@@ -238,19 +242,16 @@ def lines_of(emails: DataFrame) -> DataFrame:
     mails = emails.where("body is not null").withColumn("sender", F.coalesce(F.col("from_email"), F.col("from_name"), F.lit("")))
     mails = timestamps.normalise(mails.select("id", "sender", "body", "date", one_form("thread_id").alias("thread"), F.when(one_form("message_id").isNotNull(), F.xxhash64(one_form("message_id"))).alias("message"), linked.alias("answer"), "created_at"), "date", F.lit("emails.date"))
     mails = mails.select("id", "sender", "body", "thread", "message", "answer", F.coalesce("utc_us", (F.col("created_at") * 1_000_000).cast("bigint"), F.lit(0)).alias("at"))
-    schema = "id bigint, thread bigint, message bigint, sender bigint, answer boolean, at bigint, old array<int>, said array<struct<no:int,place:int,h:bigint,kind:tinyint>>, spilled array<struct<no:int,h:bigint>>"
+    schema = "id bigint, thread bigint, message bigint, sender bigint, answer boolean, at bigint, old array<int>, no array<int>, place array<int>, h array<bigint>, kind array<tinyint>, spilled_no array<int>, spilled_h array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = pa.struct([("no", pa.int32()), ("place", pa.int32()), ("h", pa.int64()), ("kind", pa.int8())])
-        spill = pa.struct([("no", pa.int32()), ("h", pa.int64())])
         for batch in batches:
             col = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("id", "message", "answer", "at")}
             shapes = [shape(b, s) for b, s in zip(col["body"], col["sender"], strict=True)]
             flatten = lambda k: [x for s in shapes for x in s[k]]
             starts = lambda k: pa.array([0, *accumulate(len(s[k]) for s in shapes)], pa.int32())
             said, spilled = flatten(1), flatten(2)
-            structs = pa.StructArray.from_arrays([pa.array([x[n] for x in said], f.type) for n, f in enumerate(line)], fields=list(line))
-            spills = pa.StructArray.from_arrays([pa.array([x[0] for x in spilled], pa.int32()), pa.array([x[1] for x in spilled], pa.int64())], fields=list(spill))
+            lists = lambda k, rows, kinds: [pa.ListArray.from_arrays(starts(k), pa.array([x[n] for x in rows], kind)) for n, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -260,18 +261,24 @@ def lines_of(emails: DataFrame) -> DataFrame:
                     batch.column("answer"),
                     batch.column("at"),
                     pa.ListArray.from_arrays(starts(0), pa.array(flatten(0), pa.int32())),
-                    pa.ListArray.from_arrays(starts(1), structs),
-                    pa.ListArray.from_arrays(starts(2), spills),
+                    *lists(1, said, (pa.int32(), pa.int32(), pa.int64(), pa.int8())),
+                    *lists(2, spilled, (pa.int32(), pa.int64())),
                 ],
-                names=["id", "thread", "message", "sender", "answer", "at", "old", "said", "spilled"],
+                names=["id", "thread", "message", "sender", "answer", "at", "old", "no", "place", "h", "kind", "spilled_no", "spilled_h"],
             )
 
     return mails.mapInArrow(run, schema)
 
 
-def is_(line: Column, kinds: int) -> Column:
-    """Whether a line of said is of any of the kinds."""
-    return line["kind"].bitwiseAND(F.lit(kinds)) != 0
+def said(mails: DataFrame, *keys: str) -> DataFrame:
+    """The lines of said, one a row: keys, line_no, place, h, kind."""
+    lines = mails.select(*keys, F.inline(F.arrays_zip("no", "place", "h", "kind")))
+    return lines.withColumnRenamed("no", "line_no")
+
+
+def is_(kinds: int) -> Column:
+    """Whether a line is of any of the kinds."""
+    return F.col("kind").bitwiseAND(F.lit(kinds).cast("tinyint")) != 0
 
 
 def quoted_runs(inside: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -281,53 +288,59 @@ def quoted_runs(inside: DataFrame, seeds: DataFrame) -> DataFrame:
     seeds(thread, id, line_no, first_at) names that mail by its time. Only mails with seeds and the mails they quote are
     joined, and a run is made within one mail.
     """
-    x = lambda c: F.col(f"x.{c}")
     quoted = seeds.select("thread", "id", "first_at").distinct()
-    earlier = inside.select("thread", F.col("at").alias("first_at"), F.transform("said", lambda x: x["h"]).alias("hs")).join(quoted, ["thread", "first_at"]).select("id", F.explode("hs").alias("h")).distinct()
-    lines = inside.join(seeds.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.filter("said", lambda x: ~is_(x, IS_OLD))).alias("x"))
-    lines = lines.select("id", x("no").alias("line_no"), x("place").alias("place"), x("h").alias("h"))
+    earlier = inside.withColumnRenamed("at", "first_at").drop("id").join(quoted, ["thread", "first_at"])
+    earlier = said(earlier, "id").where(~is_(IS_SHOWN)).select("id", "h").distinct()
+    lines = said(inside.join(seeds.select("id").distinct(), "id", "left_semi"), "id").where(~is_(IS_OLD)).drop("kind")
     also = lines.join(earlier, ["id", "h"], "left_semi").join(seeds.select("id", "line_no", F.lit(True).alias("seed")), ["id", "line_no"], "left")
     run = also.withColumn("run", F.col("place") - F.row_number().over(W.partitionBy("id").orderBy("place")))
     return run.withColumn("found", F.max("seed").over(W.partitionBy("id", "run"))).where("found").select("id", "line_no")
 
 
-def not_new(emails: DataFrame) -> DataFrame:
-    """(id, line_no): each line of a body that is not blank and was not newly written by the mail's sender.
-
-    Lines are numbered from 1 after splitting at a newline; a carriage return before it belongs to the break. Null and
-    empty bodies have no lines; whole bodies are read, however long. Mails stored twice are judged each by itself: text of
-    a mail with the same date or the same message id is not earlier text. Mails without a thread are judged by their form and sender alone.
-    An empty table gives no rows.
-    """
+def by_rule(emails: DataFrame) -> DataFrame:
+    """(id, line_no, rule): the lines that each way finds: `author` (an earlier mail of the thread had them), `closing` (they
+    recur at the end of the sender's mails) and `form`. A line may come by several."""
     shaped = cut(lines_of(emails))
     formal = shaped.select("id", F.explode("old").alias("line_no"))
-    # first authors of telling lines in each thread
+    # first authors of the lines of each thread, and for marked lines the first mails that show them; a mail that is quoted
+    # before its own date (dates may be wrong) stays the author of its unmarked lines
     inside = shaped.where("thread is not null")
-    telling = inside.select("thread", "at", F.explode(F.filter("said", lambda x: is_(x, TELLS))).alias("x")).select("thread", "at", F.col("x.h").alias("h"))
-    firsts = telling.groupBy("thread", "h").agg(F.min("at").alias("first_at"))
-    own = inside.where("answer").select("thread", "id", "message", "at", F.explode(F.filter("said", lambda x: is_(x, TELLS) & ~is_(x, IS_CODE | IS_OLD))).alias("x"))
-    own = own.select("thread", "id", "message", "at", F.col("x.no").alias("line_no"), F.col("x.place").alias("place"), F.col("x.h").alias("h"), F.lit(False).alias("spill"))
-    spilled = inside.select("thread", "id", "message", "at", F.explode("spilled").alias("x")).select("thread", "id", "message", "at", F.col("x.no").alias("line_no"), F.lit(None).cast("int").alias("place"), F.col("x.h").alias("h"), F.lit(True).alias("spill"))
-    seen = own.unionByName(spilled).join(firsts, ["thread", "h"]).where("first_at < at")
+    firsts = said(inside, "thread", "at").groupBy("thread", "h").agg(F.min(F.when(~is_(IS_SHOWN), F.col("at"))).alias("first_at"), F.min("at").alias("first_shown"))
+    shown = is_(IS_SHOWN)
+    tells = F.col("answer") & is_(TELLS) & ~is_(IS_CODE | IS_OLD)
+    own = said(inside, "thread", "id", "message", "at", "answer").where(shown | tells)
+    own = own.select("thread", "id", "message", "at", "line_no", "place", "h", F.when(shown, "marked").otherwise("own").alias("way"))
+    spilled = inside.select("thread", "id", "message", "at", F.inline(F.arrays_zip("spilled_no", "spilled_h"))).select("thread", "id", "message", "at", F.col("spilled_no").alias("line_no"), F.lit(None).cast("int").alias("place"), F.col("spilled_h").alias("h"), F.lit("spill").alias("way"))
+    seen = own.unionByName(spilled).join(firsts, ["thread", "h"]).where("if(way = 'marked', first_shown, first_at) < at")
+    marked = seen.where("way = 'marked'").select("id", "line_no")
     # a mail stored again with another date doesn't quote itself
     copies = inside.where("message is not null").select("thread", "message", F.col("at").alias("first_at"))
-    seen = seen.join(copies, ["thread", "message", "first_at"], "left_anti").select("thread", "id", "line_no", "place", "first_at", "spill")
     # one such line may be chance; two neighbouring ones are a quotation (of one mail, if blank lines part them), and so
     # is a spilled-over line
-    seen = cut(seen)
+    seen = cut(seen.where("way <> 'marked'").join(copies, ["thread", "message", "first_at"], "left_anti").select("thread", "id", "line_no", "place", "first_at", (F.col("way") == "spill").alias("spill")))
     mail = W.partitionBy("id").orderBy("line_no")
     by = lambda way: (way("line_no").over(mail), way("place").over(mail), way("first_at").over(mail))
     touches = lambda way, step: (by(way)[0] == F.col("line_no") + step) | ((by(way)[1] == F.col("place") + step) & (by(way)[2] == F.col("first_at")))
     seeds = seen.withColumn("run", F.coalesce(touches(F.lag, -1), F.lit(False)) | F.coalesce(touches(F.lead, 1), F.lit(False))).where("run and not spill").select("thread", "id", "line_no", "first_at")
-    unmarked = quoted_runs(inside, cut(seeds)).unionByName(seen.where("spill").select("id", "line_no"))
+    unmarked = quoted_runs(inside.select("thread", "id", "at", "no", "place", "h", "kind"), cut(seeds)).unionByName(seen.where("spill").select("id", "line_no"))
     # closing lines that recur over a sender's mails, from the end inwards
-    shaped = shaped.select("id", "sender", F.filter("said", lambda x: ~is_(x, IS_CODE | IS_OLD)).alias("own"))
-    place = F.col("pos") + F.greatest(F.lit(0), F.size("own") - CLOSING)
-    last = shaped.select("id", "sender", "own", F.posexplode(F.slice("own", F.greatest(F.lit(1), F.size("own") - CLOSING + 1), CLOSING)).alias("pos", "x"))
-    closing = last.select("id", "sender", F.col("x.no").alias("line_no"), F.col("x.h").alias("h"), (F.size("own") - place).alias("from_end"))
+    # (a mail stored again counts once, and what is old by its form neither recurs nor ends the closing)
+    last = said(shaped, "id", "sender", "message").where(~is_(IS_CODE | IS_SHOWN))
     mails = shaped.groupBy("sender").agg(F.count("*").alias("mails"))
-    often = closing.groupBy("sender", "h").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= OFTEN).join(mails, "sender").where(F.col("n") >= SHARE * F.col("mails")).select("sender", "h", F.lit(True).alias("again"))
-    inward = W.partitionBy("id").orderBy("from_end")
-    broken = F.max(F.when(F.col("again"), 0).otherwise(1)).over(inward)
-    closed = closing.join(often, ["sender", "h"], "left").withColumn("broken", broken).where("broken = 0").select("id", "line_no")
-    return formal.unionByName(unmarked).unionByName(closed).distinct()
+    often = last.groupBy("sender", "h").agg(F.count_distinct(F.coalesce("message", "id")).alias("n")).where(F.col("n") >= OFTEN).join(mails, "sender").where(F.col("n") >= SHARE * F.col("mails")).select("sender", "h", F.lit(True).alias("again"))
+    inward = W.partitionBy("id").orderBy(F.desc("line_no"))
+    broken = F.max(F.when(F.col("again") | is_(IS_OLD), 0).otherwise(1)).over(inward)
+    closed = last.join(often, ["sender", "h"], "left").withColumn("broken", broken).where("broken = 0 and again").select("id", "line_no")
+    rules = {"form": formal, "author": marked.unionByName(unmarked), "closing": closed}
+    return reduce(DataFrame.unionByName, [df.withColumn("rule", F.lit(name)) for name, df in rules.items()])
+
+
+def not_new(emails: DataFrame) -> DataFrame:
+    """(id, line_no): each line of a body that is not blank and was not newly written by the mail's sender.
+
+    Lines are numbered from 1 after splitting at a newline; a carriage return before it belongs to the break. Null and
+    empty bodies have no lines; whole bodies are read, however long. Mails stored twice are judged each by itself: text of
+    a mail with the same date or the same message id is not earlier text. Mails without a thread are judged by their form and sender alone.
+    An empty table gives no rows.
+    """
+    return by_rule(emails).select("id", "line_no").distinct()
