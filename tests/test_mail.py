@@ -181,3 +181,15 @@ def test_fixed_paragraphs_see_their_neighbours():
     assert bodies.fixed_paragraphs([data, "This is fine.", data]) == [True, False, True]
     assert bodies.fixed_paragraphs(["Label: value here", data, "prose text stands here for itself"]) == [True, True, False]
     assert bodies.fixed_paragraphs(["Base run"]) == [False]
+
+
+def test_rules_of_lines_paragraphs_and_links(spark):
+    from threadloom.functions import bodies
+    from threadloom.functions import mailtext as M
+
+    assert bodies.is_code_line("/sys/kernel/debug/x") and bodies.is_code_line("/proc/meminfo")
+    assert not bodies.is_code_line("Please look at /sys/kernel/debug for the state of it")
+    assert not bodies.untranslatable("  \n ") and bodies.untranslatable("[... 5 lines of\nquotation left out ...]")
+    df = spark.createDataFrame([("see https://bugs.example/1 and (https://lore.kernel.org/r/a@b).",), ("https://example.org/x",), (None,)], "body string")
+    assert [r[0] for r in df.select(M.archive_link(F.col("body"))).collect()] == ["https://lore.kernel.org/r/a@b", "", ""]
+    assert [tuple(r[0]) for r in spark.createDataFrame([(" a\nb\nc ",), ("a",), (None,)], "x string").select(M.answer_parts(F.col("x"))).collect()] == [("a", "b\nc"), ("a", ""), ("", "")]

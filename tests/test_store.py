@@ -200,3 +200,64 @@ def test_answers(spark):
     df = spark.createDataFrame([('```json\n{"summary": "s", "tags": ["a"]}\n```',), ("plain text",)], ["x"])
     got = [r[0] for r in df.select(reports.answer_fields(F.col("x"))).collect()]
     assert (got[0]["summary"], got[0]["tags"], got[1]["summary"]) == ("s", ["a"], "plain text")
+
+
+def test_a_writer_that_dies_leaves_the_version_before(spark, kb, monkeypatch):
+    mails = lambda *ids: mail_rows(mail(spark, *[("s", "a@x", "b", i, "", []) for i in ids]), "all", 1.0)
+    kb.insert_emails(mails("<1>"))
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:  # rows are written, the marker is not
+        m.setattr(KnowledgeBase, "_commit", dies)
+        with pytest.raises(KeyboardInterrupt):
+            kb.insert_emails(mails("<2>"))
+    assert [r["message_id"] for r in kb.read("emails").collect()] == ["<1>"]
+    assert kb.insert_emails(mails("<2>", "<3>")) == (2, 0)
+    assert sorted(r["message_id"] for r in kb.read("emails").collect()) == ["<1>", "<2>", "<3>"]
+    # added rows are written alone, beside the older folders, and are joined when there are many
+    monkeypatch.setattr("threadloom.operators.store.FOLDERS", 3)
+    for k in range(4, 8):
+        kb.insert_emails(mails(f"<{k}>"))
+    assert kb.read("emails").count() == 7 and len(kb._parts("emails", kb.version("emails"))) <= 3
+    assert len({r["id"] for r in kb.read("emails").collect()}) == 7
+
+
+def test_json_mails_are_written_once(spark, tmp_path):
+    kind = "topic string, message_id string, subject string"
+    df = spark.createDataFrame([("t", "<1>", "a"), ("t", "<1>", "b"), ("u", "<1>", "a"), ("t", None, "x"), ("t", "", "y")], kind)
+    path = f"{tmp_path}/out"
+    assert archives.write_json_mails(df, path) == 4
+    assert archives.write_json_mails(df, path) == 0
+    assert archives.write_json_mails(spark.createDataFrame([("t", "<2>", "c"), ("t", "<1>", "z")], kind), path) == 1
+    assert spark.read.json(path).count() == 5
+
+
+def test_folders_of_mails_and_topics(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"subject": "x"}, {"subject": "y"}]')
+    (tmp_path / "b.json").write_text('{"name": "sched", "search_keywords": ["k"]}')
+    got = {r["path"].rsplit("/", 1)[1]: r["mails"] for r in archives.read_mail_counts(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": 2, "b.json": 0}
+    (tmp_path / "a.json").unlink()
+    (tmp_path / "c.json").write_text("{}")
+    topics = {r["name"]: (r["display_name"], r["search_keywords"], r["description"]) for r in archives.read_topics(spark, str(tmp_path)).collect()}
+    assert topics == {"sched": ("sched", ["k"], ""), "c": ("c", [], "")}
+
+
+def test_topics_jobs_and_threads_of_a_run(spark, kb):
+    answers = spark.createDataFrame([("t", ["A", "B", " "], 0.5), ("u", ["A"], None)], "thread_id string, topics array<string>, confidence double")
+    assert kb.auto_topics(answers, 1.0) == 3 and kb.auto_topics(answers, 2.0) == 3
+    assert kb.read("topics").count() == 2 and kb.read("thread_topics").count() == 3
+    job = kb.open_job("k", 1.0)
+    assert kb.open_job("k", 2.0) == job != kb.open_job("l", 2.0)
+    kb.update_job(spark.createDataFrame([(job, "done")], "id bigint, status string"))
+    assert kb.open_job("k", 3.0) != job
+    mails = mail(spark, ("root", "a@x", "b", "<1>", "", []), ("Re: root", "b@x", "b", "<2>", "<1>", ["<1>"])).withColumn("thread_id", F.lit("<1>"))
+    assert kb.store_thread(mails, "all", 1.0) == (2, 1) and kb.store_thread(mails, "all", 2.0) == (0, 1)
+    assert tuple(kb.read("threads").select("id", "root_message_id", "subject", "email_count", "participant_count").first()) == ("<1>", "<1>", "root", 2, 2)
+    assert [r["id"] for r in collect.unfinished(kb.read("threads")).collect()] == ["<1>"]
+    kb.set_translated_path(spark.createDataFrame([("<1>", "p.html")], "id string, translated_html_path string"))
+    assert collect.unfinished(kb.read("threads")).count() == 0
+    hashed = kb.read("threads").withColumn("source_hash", F.lit("old"))
+    assert collect.unfinished(hashed, spark.createDataFrame([("<1>", "new")], "id string, source_hash string")).count() == 1

@@ -39,7 +39,7 @@ CODE_PATTERNS = [
     r"^\[<[0-9a-f]+>\]",
     r"^\?\s+\S+\+0x[0-9a-f]+",
     r"^(?:->|<-)#\d+|lock_type:\s*\d+",
-    r"^/proc/|/sys/",
+    r"^(?:/proc/|/sys/)",
     r"^CONFIG_[A-Z0-9_]+=",
     r"^commit [0-9a-f]{7,40}\b",
     r"^\S.*\(\d+\):$",
@@ -57,8 +57,8 @@ CODE_PATTERNS = [
     r"^(?:create|delete)\s+mode\s+\d+",
     r"^rename\s+(?:from|to)\s+",
 ]
-_AT_START = re.compile("|".join(f"(?:{p[1:]})" for p in CODE_PATTERNS if p.startswith("^") and "|^" not in p and not p.startswith(("^/proc", "^(?:->"))))
-_ANYWHERE = re.compile("|".join(f"(?:{p})" for p in CODE_PATTERNS if not p.startswith("^") or "|^" in p or p.startswith(("^/proc", "^(?:->"))))
+_AT_START = re.compile("|".join(f"(?:{p[1:]})" for p in CODE_PATTERNS if p.startswith("^") and "|^" not in p and not p.startswith("^(?:->")))
+_ANYWHERE = re.compile("|".join(f"(?:{p})" for p in CODE_PATTERNS if not p.startswith("^") or "|^" in p or p.startswith("^(?:->")))
 _TRACE = re.compile(r"^\S+-\d+\s+\[?\d+\]?")
 _DIFFSTAT = re.compile(r"^[ \t]*\S+[\w./]+\s+\|\s+\d+")
 _CHANGED = re.compile(r"^\s*\d+\s+files?\s+changed")
@@ -169,8 +169,10 @@ def untranslatable(paragraph: str) -> bool:
     """Whether a paragraph is quotation, tags, code, links or data and so stays as it is."""
     lines = [x.strip() for x in paragraph.strip().splitlines() if x.strip()]
     if not lines:
-        return bool(paragraph)
+        return False
     whole = paragraph.strip()
+    if re.fullmatch(r"(?s)\[\.\.\..*\.\.\.\]", whole):
+        return True  # a fold mark, also over several lines
     quoted = [x.startswith(">") for x in lines]
     folded = [x.startswith("[...") and "...]" in x for x in lines]
     technical = [is_code_line(x) or x.startswith(DIFF_STARTS) for x in lines]

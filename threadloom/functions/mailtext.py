@@ -148,8 +148,13 @@ def reply_target(body: Column) -> Column:
     return F.lower(F.when(address != "", address).otherwise(who))
 
 
+# Fixed value: a link into the list archive.
+ARCHIVE_LINK = r"https://lore\.kernel\.org/\S+"
+
+
 def archive_link(body: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(_text(body), r"https://[a-z.]+/\S+", 0), r"[)>.,]+\z", "")
+    """The first link into the list archive, without punctuation after it; links to other hosts don't count."""
+    return F.regexp_replace(F.regexp_extract(_text(body), ARCHIVE_LINK, 0), r"[)>.,]+\z", "")
 
 
 def code_files(body: Column) -> Column:
@@ -242,6 +247,13 @@ def source_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def answer_parts(answer: Column) -> Column:
+    """struct(subject, body) of an answer that was asked for both: its first line and the rest ('' without one)."""
+    text = clean(_text(answer))
+    lines = F.split(text, "\n", 2)
+    return F.struct(F.get(lines, 0).alias("subject"), F.coalesce(F.get(lines, 1), F.lit("")).alias("body"))
+
+
 def is_html_error(content: Column) -> Column:
     # What the start of an error page has.
     head = F.lower(F.substring(content, 1, 500))

@@ -115,6 +115,8 @@ def double(links: DataFrame, nodes: int) -> DataFrame:
     """The answers of a quotient that is too large for one task, by pointer doubling over joins."""
     now = links.select("node", "parent", "weight", F.col("least").alias("low"), "trail")
     for _ in range(max(1, nodes.bit_length() + 1)):
+        if now.where("parent is not null").join(now.where("parent is not null").select(F.col("node").alias("parent")), "parent", "left_semi").isEmpty():
+            break  # every way has come to a root
         over = now.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("weight").alias("more"), F.col("low").alias("more_low"), F.col("trail").alias("more_trail"))
         step = now.join(over, "parent", "left")
         on = F.col("next").isNotNull()
@@ -174,13 +176,18 @@ def solve(links: DataFrame, partitions: int, small: int) -> DataFrame:
     )
 
 
+#: Nodes that a task holds at a time when it contracts its part.
+NODES = 200_000
+
+
 def resolve(links: DataFrame, paths: bool = False, partitions: int | None = None, small: int = 1_000_000) -> DataFrame:
     """(node, parent, root, depth, path) of (node, parent, place).
 
     Nodes are distinct; a null parent makes a root (depth 0). At or below a circle, also one of length 1, root is the
     smallest id on that circle, depth is -1 and the path is null. path (from root to node) is filled only on demand.
     small: how many nodes one task may solve; a larger quotient is contracted again in fewer partitions and in the end
-    solved by pointer doubling. An empty table gives an empty one.
+    solved by pointer doubling. A partition has about NODES nodes (a node takes some hundred bytes in Python, besides its
+    path), so their number follows the input. An empty table gives an empty one.
     """
     rooted = F.col("parent").isNull()
     none = F.lit(None).cast("array<string>")
@@ -195,7 +202,7 @@ def resolve(links: DataFrame, paths: bool = False, partitions: int | None = None
         (F.array("node") if paths else none).alias("trail"),
         (F.when(rooted, F.array("node")) if paths else none).alias("base_path"),
     )
-    count = partitions or max(2, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    count = partitions or max(2, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // NODES))
     solved = solve(full, count, small)
     return solved.join(links.select("node", "parent"), "node").select("node", "parent", "root", "depth", "path")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -144,18 +144,18 @@ def repair_actions(threads: DataFrame, emails: DataFrame) -> DataFrame:
     return judged.select(F.col("id").alias("thread_id"), F.when(fix, "FIX_ID").otherwise("HIDE").alias("action"), F.when(fix, F.col("target")).alias("new_id"))
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """df with n, the place of each row in the order of a unique key: ranges are sorted, then offsets are added.
+def numbered(df: DataFrame, *key: Column | str) -> DataFrame:
+    """df with n, the place of each row in the order of columns that are unique together: ranges are sorted, then offsets are added.
 
     No partition holds all rows; what is collected is one count for each range.
     """
     from threadloom.tables import cut
 
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    laid = cut(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    laid = cut(df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()))
     sizes = laid.groupBy("_part").agg(F.count("*").alias("size"))
     before = sizes.select("_part", (F.sum("size").over(W.orderBy("_part")) - F.col("size")).alias("before"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(key))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*key))
     return laid.join(F.broadcast(before), "_part").withColumn("n", (F.col("before") + inside).cast("bigint")).drop("_part", "before")
 
 
@@ -183,3 +183,16 @@ def previous(df: DataFrame, owner: str, at: str, key: str) -> DataFrame:
     by_time = df.groupBy(owner, at).agg(F.max(key).alias("last"))
     step = by_time.withColumn("previous", F.lag("last").over(W.partitionBy(owner).orderBy(at)))
     return df.join(step.select(owner, at, "previous"), [owner, at]).select(key, "previous")
+
+
+def hit_rates(paragraphs: DataFrame, cache: DataFrame) -> DataFrame:
+    """(backend, lookups, hits, rate): how many paragraphs each back-end of the cache answers. Back-ends are a handful of names."""
+    names = cache.where("backend is not null").select("backend").distinct()
+    asked = paragraphs.where("text_orig is not null").groupBy("text_orig").agg(F.count("*").alias("n"))
+    # each text is hashed for each back-end
+    listed = [r[0] for r in names.collect()]
+    keys = asked.select("n", F.explode(F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")).alias("backend"), "text_orig")
+    keys = keys.select("backend", "n", F.sha2(F.concat_ws(":", "backend", "text_orig"), 256).alias("cache_key"))
+    held = cache.select("cache_key", F.lit(True).alias("held"))
+    out = keys.join(held, "cache_key", "left").groupBy("backend").agg(F.sum("n").alias("lookups"), F.coalesce(F.sum(F.when(F.col("held"), F.col("n"))), F.lit(0)).alias("hits"))
+    return out.withColumn("rate", F.round(F.col("hits") / F.col("lookups"), 6))

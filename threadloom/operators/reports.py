@@ -20,9 +20,12 @@ from threadloom.functions import mailtext as M
 
 def thread_texts(mails: DataFrame, limit: int = 15, size: int = 1000) -> DataFrame:
     """(thread_id, text): the first mails of each thread, each cut, with a note of how many were left out."""
-    order = W.partitionBy("thread_id").orderBy("date", "id")
-    rows = mails.where("thread_id <> ''").select("thread_id", "id", "date", "subject", "from_name", "body", F.row_number().over(order).alias("place"), F.count("*").over(W.partitionBy("thread_id")).alias("total"))
-    rows = rows.where(F.col("place") <= limit)
+    # places are given to slim rows, and only those within the limit are shuffled and joined to their bodies
+    filed = mails.where("thread_id <> ''")
+    place = F.row_number().over(W.partitionBy("thread_id").orderBy("date", "id"))
+    first = filed.select("thread_id", "id", "date", place.alias("place")).where(F.col("place") <= limit).drop("date")
+    total = filed.groupBy("thread_id").agg(F.count("*").alias("total"))
+    rows = first.join(filed.select("id", "date", "subject", "from_name", "body"), "id").join(total, "thread_id")
     part = F.concat(F.lit("--- "), F.coalesce("from_name", F.lit("")), F.lit(" | "), F.coalesce("date", F.lit("")), F.lit("\n"), F.substring(F.coalesce("body", F.lit("")), 1, size))
     grouped = rows.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("text")))).alias("parts"), F.first("total").alias("total"))
     note = F.when(F.col("total") > limit, F.array(F.concat(F.lit("... "), (F.col("total") - limit).cast("string"), F.lit(" more mails")))).otherwise(F.array().cast("array<string>"))
@@ -54,16 +57,26 @@ def digest(threads: DataFrame, size: int = 50) -> DataFrame:
 PART = 500
 
 
+def placed(built: DataFrame) -> DataFrame:
+    """(root, id, mid, subject, place): the place of each mail in its thread, root first, then by depth and date.
+
+    All mails are numbered in one order by range partitions, so a thread of any size is spread over tasks.
+    """
+    from threadloom.operators.knowledge import numbered
+
+    slim = numbered(built.select("root", "id", "mid", "subject", "depth", "sent_at"), "root", "depth", F.asc_nulls_first("sent_at"), "id")
+    start = slim.groupBy("root").agg(F.min("n").alias("start"), F.count("*").alias("total"))
+    return slim.join(start, "root").select("root", "id", "mid", "subject", (F.col("n") - F.col("start") + 1).alias("place"), "total")
+
+
 def markdown(built: DataFrame, mails: DataFrame, topic: str, replies: bool = True, size: int = 2000) -> DataFrame:
     """(root, part, text): Markdown of each thread, root first, in parts; without replies only their number is given."""
-    rows = built.join(mails.select("id", "body", "from_name", "date"), "id")
-    place = F.row_number().over(W.partitionBy("root").orderBy("depth", F.asc_nulls_first("sent_at"), "id"))
-    rows = rows.withColumns({"place": place, "total": F.count("*").over(W.partitionBy("root"))})
+    rows = placed(built)
+    rows = (rows if replies else rows.where("place = 1")).join(mails.select("id", "body", "from_name", "date"), "id")
     text = F.coalesce("body", F.lit(""))
     shown = F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("\n\n*(cut)*"))).otherwise(text)
     block = F.concat(F.when(F.col("place") == 1, "## ").otherwise("### "), F.coalesce("subject", F.lit("")), F.lit("\n\n**"), F.coalesce("from_name", F.lit("")), F.lit("** "), F.coalesce("date", F.lit("")), F.lit("\n\n"), shown)
-    wanted = rows if replies else rows.where("place = 1")
-    grouped = wanted.groupBy("root", F.expr(f"(place - 1) div {PART}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))).alias("blocks"), F.first("total").alias("total"))
+    grouped = rows.groupBy("root", F.expr(f"(place - 1) div {PART}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))).alias("blocks"), F.first("total").alias("total"))
     head = F.concat(F.lit(f"# {topic}\n\n"), F.lit("Replies: "), (F.col("total") - 1).cast("string"))
     return grouped.select("root", "part", F.concat(head, F.lit("\n\n"), F.array_join(F.transform("blocks", lambda x: x["b"]), "\n\n")).alias("text"))
 
@@ -85,9 +98,7 @@ def bilingual_pages(built: DataFrame, mails: DataFrame, backend: backends.TextBa
     Mails are rendered by row in Arrow batches; a page is the ordered concatenation of at most PART of them.
     """
     render = bodies.apply(lambda s, f, d, b, key: _mail_html(backend, s, f, d, b, key), "string", F.col("subject"), F.col("from_name"), F.col("date"), F.col("body"), F.col("mid"))
-    rows = built.join(mails.select("id", "body", "from_name", "date"), "id").select("root", "mid", "depth", "sent_at", "id", render.alias("node"))
-    place = F.row_number().over(W.partitionBy("root").orderBy("depth", F.asc_nulls_first("sent_at"), "id"))
-    rows = rows.withColumn("place", place)
+    rows = placed(built).join(mails.select("id", "body", "from_name", "date"), "id").select("root", "place", render.alias("node"))
     pages = rows.groupBy("root", F.expr(f"(place - 1) div {PART}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("nodes"))
     return pages.select("root", "part", F.concat(F.lit('<div class="thread">'), F.array_join(F.transform("nodes", lambda n: n["node"]), "\n"), F.lit("</div>")).alias("html"))
 
@@ -122,7 +133,28 @@ def listing(spark, path: str) -> DataFrame:  # noqa: ANN001
     return rows.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("ext"), "path", name.alias("relpath"), F.expr("length div 1024").alias("size_kb"), F.date_format("modificationTime", "yyyy-MM-dd HH:mm").alias("mtime")).where("relpath <> 'dashboard.html'")
 
 
-def dashboard(reports: DataFrame) -> str:
-    """An index page with the reports as JSON. The rows are one for each commit that was reported on."""
-    rows: pd.DataFrame = reports.toPandas()
+def dashboard(reports: DataFrame, most: int = 100_000) -> str:
+    """An index page with the reports as JSON. The rows are one for each commit that was reported on; a page of more than
+    `most` rows can't be used, so more are an error."""
+    rows: pd.DataFrame = reports.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} reports: filter them before they go into one page")
     return f'<!doctype html><html><head><title>Reports</title></head><body><script id="data" type="application/json">{rows.to_json(orient="records", force_ascii=False).replace("</", "<\\/")}</script></body></html>'
+
+
+def knowledge_pages(threads: DataFrame, reports: DataFrame, size: int = PART) -> DataFrame:
+    """(kind, page, html): the export of the knowledge base: cards of visible threads and of reports, latest first, so many
+    on a page. Cards are rendered in the JVM and pages put together by rows of one page, so that no task holds them all."""
+    from threadloom.operators.knowledge import numbered
+
+    esc = lambda c: M.escape_html(F.coalesce(F.col(c).cast("string"), F.lit("")), quotes=True)
+    tags = F.array_join(F.transform(M.json_list(F.col("tags")), lambda x: F.concat(F.lit('<span class="tag">'), M.escape_html(x, quotes=True), F.lit("</span>"))), "")
+    card = F.concat(F.lit('<div class="card" data-tags="'), esc("tags"), F.lit('"><h3>'), esc("subject"), F.lit("</h3><p>"), esc("start_date"), F.lit(" - "), esc("end_date"), F.lit(" | "), esc("email_count"), F.lit("</p><p>"), esc("summary_zh"), F.lit("</p>"), tags, F.lit("</div>"))
+    cards = threads.where("hidden = 0").select(F.lit("threads").alias("kind"), F.coalesce("end_date", F.lit("")).alias("at"), "id", card.alias("html"))
+    page = F.concat(F.lit('<div class="report"><h3>'), esc("topic"), F.lit("</h3><pre>"), esc("content"), F.lit("</pre></div>"))
+    told = reports.select(F.lit("reports").alias("kind"), F.lpad(F.coalesce(F.col("created_at").cast("bigint"), F.lit(0)).cast("string"), 20, "0").alias("at"), F.col("id").cast("string").alias("id"), page.alias("html"))
+    rows = numbered(cards.unionByName(told), "kind", F.desc("at"), "id")
+    start = rows.groupBy("kind").agg(F.min("n").alias("start"))
+    rows = rows.join(F.broadcast(start), "kind").withColumn("page", F.expr(f"(n - start) div {size}"))
+    whole = rows.groupBy("kind", "page").agg(F.array_sort(F.collect_list(F.struct("n", "html"))).alias("cards"))
+    return whole.select("kind", "page", F.concat(F.lit("<!doctype html><html><body>"), F.array_join(F.transform("cards", lambda x: x["html"]), "\n"), F.lit("</body></html>")).alias("html"))

@@ -1,13 +1,16 @@
 """A versioned Parquet store with the update rules of the knowledge base.
 
-Parquet tables can't be updated in place, so each change computes the next version of a table and moves a pointer file
-to it; readers keep the version they opened. There is one writer. Every rule is a function from the old rows and the new
+Parquet tables can't be updated in place, so each change computes the next version of a table and then creates a marker of
+that version; the highest marker is the current version and nothing is ever deleted first, so a writer that dies between any
+two steps leaves the version before. Readers keep the version they opened. There is one writer. What is only added goes
+into a further folder beside those of the version before, so a micro-batch writes its own rows alone. Every rule is a function from the old rows and the new
 rows to the next rows (a join on the key), so rules can be tested and reused without files.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,10 @@ from pyspark.sql import functions as F
 from threadloom import schemas
 from threadloom.functions import mailtext as M
 from threadloom.operators import knowledge as K
-from threadloom.tables import clean
+from threadloom.tables import clean, cut
+
+#: Folders of added rows in one version.
+FOLDERS = 64
 
 
 def _ids(new: DataFrame, old: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -96,38 +102,60 @@ class KnowledgeBase:
         self._fs = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._Path = hadoop.Path
 
+    def _markers(self, table: str) -> list[str]:
+        folder = self._Path(f"{self.path}/{table}")
+        if not self._fs.exists(folder):
+            return []
+        return [s.getPath().getName() for s in self._fs.listStatus(folder)]
+
     def version(self, table: str) -> int:
-        pointer = self._Path(f"{self.path}/{table}/_current")
-        if not self._fs.exists(pointer):
-            return 0
-        stream = self._fs.open(pointer)
+        """The highest version with a marker; 0 where there is none."""
+        return max([int(n.removeprefix("_committed.")) for n in self._markers(table) if n.startswith("_committed.")], default=0)
+
+    def _parts(self, table: str, n: int) -> list[int]:
+        """The folders a version consists of."""
+        stream = self._fs.open(self._Path(f"{self.path}/{table}/_committed.{n:010d}"))
         try:
-            return int(bytes(stream.readAllBytes()).decode() or 0)
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def read(self, table: str) -> DataFrame:
         if n := self.version(table):
-            return migrate(self.spark.read.parquet(f"{self.path}/{table}/v={n}"), schemas.TABLES[table])
+            kind = self.spark.createDataFrame([], schemas.TABLES[table]).schema
+            parts = [self.spark.read.parquet(f"{self.path}/{table}/v={k}") for k in self._parts(table, n)]
+            whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            return migrate(whole, schemas.TABLES[table]) if whole.schema != kind else whole
         return self.spark.createDataFrame([], schemas.TABLES[table])
 
-    def write(self, table: str, rows: DataFrame) -> int:
-        n = self.version(table) + 1
+    def write(self, table: str, rows: DataFrame, parts: list[int] | None = None) -> int:
+        """The next version: rows, beside the folders of `parts`."""
+        taken = [int(n.removeprefix("v=")) for n in self._markers(table) if n.startswith("v=")]
+        n = max([self.version(table), *taken]) + 1  # also above what a writer that died left behind
         rows.select(*self.read(table).columns).write.mode("overwrite").parquet(f"{self.path}/{table}/v={n}")
-        stream = self._fs.create(self._Path(f"{self.path}/{table}/_next"), True)
-        stream.write(bytearray(str(n).encode()))
-        stream.close()
-        self._fs.delete(self._Path(f"{self.path}/{table}/_current"), False)
-        self._fs.rename(self._Path(f"{self.path}/{table}/_next"), self._Path(f"{self.path}/{table}/_current"))
+        self._commit(table, n, [*(parts or []), n])
         return n
 
-    def _append(self, table: str, fresh: DataFrame) -> int:
-        from threadloom.tables import cut
+    def _commit(self, table: str, n: int, parts: list[int]) -> None:
+        """The marker of a version, made whole under another name and then renamed, which is one step."""
+        made, marker = self._Path(f"{self.path}/{table}/_next.{n:010d}"), self._Path(f"{self.path}/{table}/_committed.{n:010d}")
+        stream = self._fs.create(made, True)
+        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.close()
+        if not self._fs.rename(made, marker):
+            raise OSError(f"version {n} of {table} is there already")
 
+    def _append(self, table: str, fresh: DataFrame) -> int:
+        """Adds rows as further files; after FOLDERS of them the table is written anew."""
         fresh = cut(fresh)
         added = fresh.count()
         if added:
-            self.write(table, self.read(table).unionByName(fresh))
+            now = self.version(table)
+            parts = self._parts(table, now) if now else []
+            if len(parts) < FOLDERS:
+                self.write(table, fresh, parts)
+            else:
+                self.write(table, self.read(table).unionByName(fresh))
         return added
 
     def insert_emails(self, rows: DataFrame) -> tuple[int, int]:
@@ -189,6 +217,38 @@ class KnowledgeBase:
         last = K.last_write(links, keys, ["created_at", "confidence"])
         return self.write("thread_topics", self.read("thread_topics").join(last.select(*keys), keys, "left_anti").unionByName(last.select(*self.read("thread_topics").columns)))
 
+    def auto_topics(self, answers: DataFrame, now: float) -> int:
+        """Topics that summary answers (thread_id, topics array, confidence) name are added if they are new and linked to
+        their threads; gives the number of links. Blank names are left out."""
+        named = answers.select("thread_id", F.explode("topics").alias("name"), F.coalesce("confidence", F.lit(1.0)).alias("confidence")).withColumn("name", clean(F.col("name"))).where("name <> ''")
+        named = cut(named.groupBy("thread_id", "name").agg(F.max("confidence").alias("confidence")))
+        rows = named.select("name").distinct().select("name", F.col("name").alias("display_name"), F.lit("").alias("description"), F.lit("").alias("keywords"), F.lit(now).alias("created_at"))
+        self.upsert_topics(rows.withColumn("id", F.lit(None).cast("bigint")))
+        links = cut(named.join(self.read("topics").select("name", F.col("id").alias("topic_id")), "name").select("thread_id", "topic_id", "confidence", F.lit(now).alias("created_at")))
+        self.link_topics(links)
+        return links.count()
+
+    def open_job(self, keywords: str, now: float) -> int:
+        """The latest job of the same keywords that isn't done, else a new one."""
+        held = self.read("collect_jobs").where((F.col("keywords") == keywords) & (F.col("status") != "done")).agg(F.max("id")).first()[0]
+        if held is not None:
+            return held
+        self.create_job(self.spark.createDataFrame([(keywords, "pending", now, now)], "keywords string, status string, created_at double, updated_at double"))
+        return self.read("collect_jobs").where(F.col("keywords") == keywords).agg(F.max("id")).first()[0]
+
+    def store_thread(self, mails: DataFrame, list_name: str, now: float) -> tuple[int, int]:
+        """(new mails, threads): downloaded mails (with thread_id) are inserted and their threads upserted with counts, dates
+        and the root's subject."""
+        rows = cut(mail_rows(mails, list_name, now))
+        added, _ = self.insert_emails(rows)
+        root = F.struct(F.col("message_id") != F.col("thread_id"), "date", "message_id")
+        threads = rows.where("thread_id <> ''").groupBy(F.col("thread_id").alias("id")).agg(
+            F.min_by("message_id", root).alias("root_message_id"), F.min_by("subject", root).alias("subject"), F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count_distinct("message_id").alias("email_count"), F.count_distinct("from_email").alias("participant_count")
+        )
+        threads = cut(migrate(threads.withColumns({"created_at": F.lit(now), "processed": F.lit(0)}), schemas.THREADS))
+        self.upsert_threads(threads)
+        return added, threads.count()
+
     def put_cache(self, rows: DataFrame) -> int:
         """Replaces; a replaced entry starts again with one access."""
         last = K.last_write(rows.withColumn("access_count", F.lit(1)), ["cache_key"], ["created_at"])

@@ -91,13 +91,39 @@ def p4_found(t: Tables) -> DataFrame:
     return solved.where("parent is not null").select(F.col("node").alias("message_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
 
 
-@registry.add("p4_paths")
+PATHS_SQL = """trail(node, root_id, path) as (
+  select node, node, [node] from link where parent is null
+  union all select l.node, w.root_id, list_append(w.path, l.node) from trail w join link l on l.parent = w.node)"""
+
+
+@registry.add(
+    "p4_paths",
+    f"""with recursive {CHAIN_SQL} {WALK_SQL}, {PATHS_SQL}
+select t.node message_id, l.parent, t.root_id, cast(len(t.path) - 1 as int) depth, t.path path from trail t join link l on l.node = t.node
+union all select r.node, l.parent, r.root_id, cast(-1 as int), null from ring r join link l on l.node = r.node""",
+)
 def p4_paths(t: Tables) -> DataFrame:
     solved = hierarchy.resolve(cut(hierarchy.parent_links(t.emails)), paths=True)
     return solved.select(F.col("node").alias("message_id"), "parent", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path")
 
 
-@registry.add("p4_descendants")
+@registry.add(
+    "p4_descendants",
+    f"""with recursive {CHAIN_SQL} {PATHS_SQL}
+select x.ancestor, x.node, cast(x.depth - x.pos as bigint) distance from (
+  select node, len(path) depth, unnest(path) ancestor, generate_subscripts(path, 1) pos from trail) x where x.pos < x.depth""",
+)
 def p4_descendants(t: Tables) -> DataFrame:
+    solved = hierarchy.resolve(cut(hierarchy.parent_links(t.emails)), paths=True)
+    return hierarchy.descendants(solved)
+
+
+@registry.add(
+    "p4_descendant_counts",
+    f"""with recursive {CHAIN_SQL} {PATHS_SQL}
+select ancestor message_id, count(*) n, cast(max(depth - pos) as int) deepest from (
+  select node, len(path) depth, unnest(path) ancestor, generate_subscripts(path, 1) pos from trail) where pos < depth group by 1""",
+)
+def p4_descendant_counts(t: Tables) -> DataFrame:
     solved = hierarchy.resolve(cut(hierarchy.parent_links(t.emails)), paths=True)
     return hierarchy.descendants(solved).groupBy(F.col("ancestor").alias("message_id")).agg(F.count("*").alias("n"), F.max("distance").cast("int").alias("deepest"))

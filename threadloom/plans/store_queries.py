@@ -151,7 +151,7 @@ def topic_keywords(t: Tables) -> DataFrame:
     return t.topics.select("id", F.explode(M.json_list(F.col("keywords"))).alias("keyword"))
 
 
-@add("thread_tags")
+@add("thread_tags", """select distinct trim(tag) tag from (select unnest(case when coalesce(tags, '') = '' then [] when starts_with(trim(tags), '[') then coalesce(try_cast(case when json_valid(tags) then tags end as varchar[]), [tags]) when starts_with(trim(tags), '"') and json_valid(tags) then [json_extract_string(tags, '$')] else [tags] end) tag from threads) where trim(tag) <> ''""")
 def thread_tags(t: Tables) -> DataFrame:
     return t.threads.select(F.explode(M.json_list(F.col("tags"))).alias("tag")).select(F.trim("tag").alias("tag")).where("tag <> ''").distinct()
 
@@ -192,7 +192,8 @@ def newest_open_jobs(t: Tables) -> DataFrame:
     return t.collect_jobs.where("status <> 'done'").groupBy("keywords").agg(F.max("id").alias("id"))
 
 
-@add("progress_cursor")
+@add("progress_cursor", """select id, cast(coalesce(len(k), 0) as int) cursors, list_max(list_transform(k, lambda x: json_extract_string(p, '$."' || x || '".last_date'))) last_date
+ from (select id, p, json_keys(p) k from (select id, case when json_valid(progress) then progress end p from collect_jobs))""")
 def progress_cursor(t: Tables) -> DataFrame:
     return K.progress_cursor(t.collect_jobs)
 

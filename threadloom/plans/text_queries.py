@@ -16,6 +16,16 @@ add = registry.add
 c = F.col
 PERF = " or ".join(f"contains(lower(substr(b, 1, 3000)), '{w}')" for w in M.PERFORMANCE)
 
+PRIORITY_SQL = f"""case when contains(f, 'tip-bot') then 0 when (contains(f, 'kernel test robot') or contains(f, 'lkp@intel')) then case when contains(lower(b), 'warning:') or contains(lower(b), 'error:') then 1 else 0 end
+ when regexp_matches(s, '(?i)\\[.*PATCH.*\\s+0+/\\d+\\]') then 2 when regexp_matches(s, '(?i)\\[(?:RFC\\s*)?(?:PATCH|RESEND)') and (contains(b, 'diff --git') or contains(b, chr(10) || '--- a/')) then 1
+ when {PERF} then 2 else 3 end priority from (select id, body, lower(coalesce(from_email, '')) f, coalesce(subject, '') s, coalesce(body, '') b from emails)"""
+STRIP = "regexp_replace({0}, '^[\\s\\x{{85}}\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{a0}}\\x{{3000}}]+$', '', 'g')"
+BASE_SQL = STRIP.format("regexp_replace(coalesce(subject, ''), '^(?i:(?:Re:\\s*)+)', '')")
+FILES_SQL = f"""files as (select id, p from (select id, unnest(regexp_extract_all(coalesce(body, ''), '{M.DIFF_PATHS}', 2) || regexp_extract_all(coalesce(body, ''), '{M.PATCH_PATHS}', 1)
+ || list_transform(list_filter(regexp_extract_all(coalesce(body, ''), '(?:^|\\W)(?:kernel|drivers|include|mm|fs|net|arch|block|crypto|lib|security|sound|tools|scripts|init|ipc)/[\\w/._-]+\\.[chS](?:\\W|$)'), lambda x: true), lambda x: regexp_extract(x, '((?:kernel|drivers|include|mm|fs|net|arch|block|crypto|lib|security|sound|tools|scripts|init|ipc)/[\\w/._-]+\\.[chS])', 1))) p from emails)
+ where regexp_matches(p, '\\.[chS]$') group by 1, 2)"""
+AREA_SQL = "case " + " ".join(f"when starts_with(p, '{k}') then '{v}'" for k, v in M.SUBSYSTEMS.items()) + " end"
+
 
 @add(
     "mail_priority",
@@ -27,7 +37,7 @@ def mail_priority(t: Tables) -> DataFrame:
     return t.emails.select("id", M.priority_of(c("from_email"), c("subject"), c("body")).alias("priority"))
 
 
-@add("preprocess_stats")
+@add("preprocess_stats", f"select count(*) total, count(*) filter (priority = 0) dropped, count(*) filter (priority = 1) low, count(*) filter (priority = 2) medium, count(*) filter (priority = 3) high from (select {PRIORITY_SQL})")
 def preprocess_stats(t: Tables) -> DataFrame:
     p = M.priority_of(c("from_email"), c("subject"), c("body"))
     return t.emails.select(p.alias("p")).agg(F.count("*").alias("total"), *[F.count_if(c("p") == v).alias(k) for k, v in (("dropped", M.DROP), ("low", M.LOW), ("medium", M.MEDIUM), ("high", M.HIGH))])
@@ -38,7 +48,7 @@ def mail_tags(t: Tables) -> DataFrame:
     return t.emails.select("id", M.tag_of_row(c("priority"), c("subject")).alias("tag"))
 
 
-@add("mail_budgets")
+@add("mail_budgets", f"select id, budget, substr(body, 1, budget) kept from (select id, body, [0, 500, 2000, 5000][priority + 1] budget from (select id, body, {PRIORITY_SQL}))")
 def mail_budgets(t: Tables) -> DataFrame:
     p = M.priority_of(c("from_email"), c("subject"), c("body"))
     return t.emails.select("id", M.budget_of(p).alias("budget"), F.substring(c("body"), F.lit(1), M.budget_of(p)).alias("kept"))
@@ -49,12 +59,12 @@ def without_signature(t: Tables) -> DataFrame:
     return t.emails.where("body is not null").select("id", M.without_signature(c("body")).alias("text"))
 
 
-@add("base_subjects", "select id, trim(regexp_replace(coalesce(subject, ''), '^(?:[Rr][Ee]:\\s*)+', ''), ' ' || chr(9) || chr(10) || chr(13)) base from emails where regexp_full_match(coalesce(subject, ''), '[ -~]*')")
+@add("base_subjects", f"select id, {BASE_SQL} base from emails")
 def base_subjects(t: Tables) -> DataFrame:
-    return t.emails.where(F.coalesce("subject", F.lit("")).rlike(r"\A[ -~]*\z")).select("id", M.base_subject(c("subject")).alias("base"))
+    return t.emails.select("id", M.base_subject(c("subject")).alias("base"))
 
 
-@add("group_subjects")
+@add("group_subjects", f"""select case when length(b) <= 60 then b when contains(substr(b, 1, 60), ' ') and 60 - instr(reverse(substr(b, 1, 60)), ' ') > 40 then substr(b, 1, 60 - instr(reverse(substr(b, 1, 60)), ' ')) else substr(b, 1, 60) end subject, count(*) n from (select {BASE_SQL} b from emails) group by 1""")
 def group_subjects(t: Tables) -> DataFrame:
     return t.emails.groupBy(M.group_subject(c("subject")).alias("subject")).agg(F.count("*").alias("n"))
 
@@ -69,22 +79,22 @@ def patch_tags(t: Tables) -> DataFrame:
     return t.emails.select("id", M.patch_tag(c("subject")).alias("p")).select("id", "p.number", "p.total", "p.version")
 
 
-@add("patch_order")
+@add("patch_order", f"select id, cast(case when n is null then 1 else 0 end as int) kind, coalesce(n, 0) number, email_count from (select id, email_count, try_cast(regexp_extract(coalesce(subject, ''), '{M.PATCH_NUMBER}', 1) as int) n from threads)")
 def patch_order(t: Tables) -> DataFrame:
     return t.threads.select("id", M.patch_sort_key(c("subject")).alias("key"), "email_count").select("id", "key.kind", "key.number", "email_count")
 
 
-@add("reply_targets")
+@add("reply_targets", f"""select id, lower(case when a <> '' then a else w end) target from (select id, w, regexp_extract(w, '<([^>]+)>', 1) a from (select id, {STRIP.format(f"regexp_extract(coalesce(body, ''), '{M.REPLY_LINE}', 1)")} w from emails)) where w <> ''""")
 def reply_targets(t: Tables) -> DataFrame:
     return t.emails.select("id", M.reply_target(c("body")).alias("target")).where("target <> ''")
 
 
-@add("code_files")
+@add("code_files", f"with {FILES_SQL} select p file, count(*) n from files group by 1")
 def code_files(t: Tables) -> DataFrame:
     return t.emails.select(F.explode(M.code_files(c("body"))).alias("file")).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@add("code_functions")
+@add("code_functions", f"select function, count(*) n from (select distinct id, {STRIP.format('f')} function from (select id, unnest(regexp_extract_all(coalesce(body, ''), '{M.HUNK_CONTEXT}', 1)) f from emails)) where function <> '' group by 1")
 def code_functions(t: Tables) -> DataFrame:
     return t.emails.select(F.explode(M.code_functions(c("body"))).alias("function")).groupBy("function").agg(F.count("*").alias("n"))
 
@@ -94,7 +104,7 @@ def patch_mails(t: Tables) -> DataFrame:
     return t.emails.where(M.is_patch(c("subject"), c("body"))).select("id")
 
 
-@add("diff_subsystems")
+@add("diff_subsystems", f"with {FILES_SQL} select id, list_sort(list(distinct area)) areas from (select id, {AREA_SQL} area from files) where area is not null group by 1")
 def diff_subsystems(t: Tables) -> DataFrame:
     return t.emails.select("id", M.subsystems(M.code_files(c("body"))).alias("areas")).where("size(areas) > 0")
 
@@ -163,7 +173,7 @@ def list_names(t: Tables) -> DataFrame:
     return t.emails.where("list_name is not null").select("list_name", M.list_name(c("list_name")).alias("resolved")).distinct()
 
 
-@add("paragraph_split")
+@add("paragraph_split", f"select id, cast(pos - 1 as int) pos, paragraph from (select id, unnest(l) paragraph, generate_subscripts(l, 1) pos from (select id, list_filter(regexp_split_to_array({STRIP.format("coalesce(body, '')")}, '\\n\\n+'), lambda x: {STRIP.format('x')} <> '') l from emails))")
 def paragraph_split(t: Tables) -> DataFrame:
     return t.emails.select("id", F.posexplode(M.paragraphs(c("body"))).alias("pos", "paragraph"))
 
@@ -176,10 +186,16 @@ def translation_scores(t: Tables) -> DataFrame:
     return found.select("paragraph_id", F.round(M.translation_score(c("translated"), c("text_orig")), 6).alias("score"))
 
 
-@add("line_overlap", """with l as (select paragraph_id, list_distinct(list_filter(list_transform(string_split(text_orig, chr(10)), lambda x: trim(x)), lambda x: x <> '')) a from paragraphs where text_orig is not null)
- select paragraph_id, len(a) lines from l""")
+LINES_SQL = lambda text: f"list_distinct(list_filter(list_transform(string_split({text}, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> ''))"
+
+
+@add("line_overlap", f"""select paragraph_id, len(b) > 0 and len(list_intersect(a, b)) >= 0.8 * len(b) same from (
+ select p.paragraph_id, {LINES_SQL('c.translated')} a, {LINES_SQL('p.text_orig')} b from paragraphs p join translation_cache c on c.cache_key = sha256('api_alpha:' || p.text_orig) where c.translated is not null)""")
 def line_overlap(t: Tables) -> DataFrame:
-    return t.paragraphs.where("text_orig is not null").select("paragraph_id", F.size(M.lines_of(c("text_orig"))).cast("bigint").alias("lines"))
+    from threadloom.operators import knowledge as K
+
+    found = K.cache_lookup(t.paragraphs.withColumn("backend", F.lit("api_alpha")), t.translation_cache, "text_orig").where("hit and translated is not null")
+    return found.select("paragraph_id", M.shares_lines(c("translated"), c("text_orig")).alias("same"))
 
 
 FTS = "list_contains({0}, '{1}')"

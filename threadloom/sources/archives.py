@@ -16,11 +16,14 @@ from email.header import decode_header
 from email.message import Message
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from threadloom.tables import cut
+
 SCHEMA = "subject string, `from` string, `to` string, cc string, date string, body string, attachments array<string>, message_id string, in_reply_to string, `references` array<string>, source_url string, path string, input_pos bigint"
 # How the From lines of an archive look, and the marks of an error page.
 FROM_STRICT = re.compile(r"(?m)^From \S+ \w{3} \w{3} +\d+ \d+:\d+:\d+ \d{4}$")
@@ -145,9 +148,48 @@ def read_json_mails(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"from": F.coalesce("from", "sender"), "path": F.col("_metadata.file_path")}).drop("sender")
 
 
-def write_json_mails(df: DataFrame, path: str) -> None:
-    """One JSON file set for each topic, written once: rows whose id is there already are left out."""
-    df.write.mode("append").partitionBy("topic").json(path)
+def write_json_mails(df: DataFrame, path: str, key: str = "message_id") -> int:
+    """One JSON file set for each topic, written once: rows whose topic holds their id already are left out, and of rows
+    of one topic and id in df one is written. Gives how many were new. Rows without an id are told apart by all their
+    columns. A second run adds nothing."""
+    spark = df.sparkSession
+    mark = F.coalesce(F.nullif(F.col(key), F.lit("")), F.sha2(F.to_json(F.struct(*[c for c in df.columns if c != "topic"])), 256))
+    fresh = df.withColumn("_mark", mark).withColumn("topic", F.coalesce("topic", F.lit("")))
+    first = fresh.groupBy("topic", "_mark").agg(F.min(F.struct(*[F.to_json(F.struct(*df.columns)).alias("_order"), F.struct(*df.columns).alias("row")])).alias("m")).select("topic", "_mark", "m.row")
+    try:
+        held = spark.read.schema(df.schema).option("basePath", path).json(path).withColumn("topic", F.col("topic").cast("string"))
+        held = held.withColumn("_mark", mark).select(F.coalesce("topic", F.lit("")).alias("topic"), "_mark").distinct()
+        first = first.join(held, ["topic", "_mark"], "left_anti")
+    except AnalysisException:  # nothing is there yet
+        pass
+    new = cut(first.select("row.*"))
+    count = new.count()
+    if count:
+        new.write.mode("append").partitionBy("topic").json(path)
+    return count
+
+
+def read_mail_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, mails): how many mails each JSON file below a folder holds; 0 if it is no list."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("path"), "value")
+    listed = F.when(F.trim("value").startswith("["), F.coalesce(F.json_array_length("value"), F.lit(0))).otherwise(0)
+    return files.select("path", listed.cast("bigint").alias("mails"))
+
+
+# The fields of a topic file.
+TOPIC_TEXTS = ["description", "ai_filter_prompt", "ai_summary_extra"]
+TOPIC_LISTS = ["search_keywords", "filter_keywords", "filter_require_subsystem", "filter_require_topic", "subject_blacklist"]
+
+
+def read_topics(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each topic file (JSON): name (else the file's), display_name (else the name), texts ('' where missing) and
+    lists (empty where missing)."""
+    kinds = ", ".join([f"{c} string" for c in ("name", "display_name", *TOPIC_TEXTS)] + [f"{c} array<string>" for c in TOPIC_LISTS])
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", kinds).alias("j"))
+    name = F.coalesce("j.name", F.regexp_extract("path", r"([^/]+)\.json$", 1))
+    texts = [F.coalesce(f"j.{c}", F.lit("")).alias(c) for c in TOPIC_TEXTS]
+    lists = [F.coalesce(F.col(f"j.{c}"), F.array().cast("array<string>")).alias(c) for c in TOPIC_LISTS]
+    return files.select(name.alias("name"), F.coalesce(F.col("j.display_name"), name).alias("display_name"), *texts, *lists)
 
 
 def newest(df: DataFrame, at: str, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import mailtext as M
+from threadloom.operators.knowledge import numbered
 from threadloom.tables import clean
 
 # The separators and headings of a context document.
@@ -85,20 +86,28 @@ def trim(df: DataFrame, size: int = 100_000, column: str = "content") -> DataFra
     ).withColumns({"trimmed_size": F.length(column).cast("bigint"), "emails_dropped": F.col("emails_total") - F.col("emails_kept")}).drop("_header", "_blocks", "_footer", "_short", "_budget", "_kept")
 
 
+#: Mails in one part of a document.
+PART = 500
+
+
 def pack(commits: DataFrame, mails: DataFrame) -> DataFrame:
-    """(hash, content): a context document for each commit, from its row and the mails joined to it by hash.
+    """(hash, part, content): a context document for each commit, from its row and the mails joined to it by hash, in parts
+    of PART mails, so that no row holds all mails of a hot commit. Mails are placed by range partitions.
 
     mails: hash, priority, input_pos, subject, from, date, message_id, in_reply_to, body. The most valued mails come first.
     """
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("")))
     tag = M.tag_of_priority(F.col("priority"))
     block = F.concat_ws("\n", F.concat(F.lit("## "), tag, F.lit(" "), F.coalesce("subject", F.lit(""))), line("From", F.col("from")), line("Date", F.col("date")), line("Message-Id", F.col("message_id")), line("In-Reply-To", F.col("in_reply_to")), F.lit(""), F.coalesce("body", F.lit("")))
-    blocks = mails.select("hash", F.struct((-F.col("priority")).alias("order"), "input_pos", block.alias("block")).alias("b")).groupBy("hash").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    laid = numbered(mails.select("hash", (-F.col("priority")).alias("order"), "input_pos", block.alias("block")), "hash", "order", "input_pos")
+    start = laid.groupBy("hash").agg(F.min("n").alias("start"))
+    laid = laid.join(start, "hash").withColumn("part", F.expr(f"(n - start) div {PART}"))
+    blocks = laid.groupBy("hash", "part").agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("blocks"))
     head = F.concat_ws("\n", F.lit(RULE), F.concat(F.lit("# COMMIT "), "hash"), F.lit(RULE), line("Hash", F.col("hash")), line("Subject", F.col("subject")), line("Author", F.col("author")), line("Date", F.col("date").cast("string")), F.lit("## Commit Message"), F.coalesce("body", F.lit("")), F.lit("## 代码变更 (diff)\n```diff"), F.substring(F.coalesce("diff", F.lit("")), 1, 6000), F.lit("```"), F.lit(RULE), F.lit("# Lore 邮件线程"), F.lit(RULE))
     tail = F.concat_ws("\n", F.lit(""), F.lit(RULE), F.lit("# 请基于以上内容"))
     joined = commits.join(blocks, "hash", "left")
-    body = F.array_join(F.transform(F.coalesce("blocks", F.array().cast("array<struct<order:int,input_pos:bigint,block:string>>")), lambda b: F.concat(F.lit("\n"), b["block"])), "\n")
-    return joined.select("hash", F.concat_ws("\n", head, body, tail).alias("content"))
+    body = F.array_join(F.transform(F.coalesce("blocks", F.array().cast("array<struct<n:bigint,block:string>>")), lambda b: F.concat(F.lit("\n"), b["block"])), "\n")
+    return joined.select("hash", F.coalesce("part", F.lit(0)).alias("part"), F.concat_ws("\n", head, body, tail).alias("content"))
 
 
 def metadata(df: DataFrame, column: str = "content") -> DataFrame:

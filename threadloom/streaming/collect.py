@@ -41,7 +41,8 @@ def start(kb: KnowledgeBase, mails: DataFrame, checkpoint: str, job: int, clock:
 
     def batch(rows: DataFrame, _: int) -> None:
         now = clock()
-        rows = rows.dropDuplicates(["message_id"]).persist()
+        # of mails with one id the first of the input stays
+        rows = K.first_write(rows.withColumn("_at", F.struct(F.coalesce("input_pos", F.lit(0)), F.coalesce("date", F.lit("")), F.coalesce("body", F.lit("")))), ["message_id"], ["_at"]).drop("_at").persist()
         kb.enqueue(queue_rows(rows, job, now, keywords, **rules))
         kb.insert_emails(mail_rows(rows.where(M.wanted(F.col("subject"), F.col("body"), keywords, **{k: v for k, v in rules.items() if k != "budget"})), list_name, now))
         rows.unpersist()
@@ -69,6 +70,16 @@ def work(kb: KnowledgeBase, job: int, fetch: Callable[[DataFrame], DataFrame], c
     return {k: row[k] for k in (*K.STATES, "total")} if row else dict.fromkeys((*K.STATES, "total"), 0)
 
 
+def unfinished(threads: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """The threads that a run still has to do: those without a page, and, where sources (id, source_hash) and a column
+    source_hash of threads are given, those whose source has changed."""
+    blank = F.coalesce(F.trim("translated_html_path"), F.lit("")) == ""
+    if sources is None:
+        return threads.where(blank)
+    same = sources.select("id", F.col("source_hash").alias("_now"))
+    return threads.join(same, "id", "left").where(blank | ~F.col("source_hash").eqNullSafe(F.col("_now"))).drop("_now")
+
+
 def read_mail_stream(spark: SparkSession, path: str) -> DataFrame:
     """JSON mails that arrive as files."""
     kinds = "subject string, `from` string, date string, body string, message_id string, in_reply_to string, `references` array<string>, source_url string, input_pos bigint"
