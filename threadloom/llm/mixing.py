@@ -116,7 +116,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, tokeniz
         last = max(left.values()) <= block
         blocks = F.create_map(*[F.lit(x) for s, n in left.items() for x in (s, max(1, -(-n // block)))])
         loose = loose.select("doc_id", "source", "tokens", "base", "p").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.element_at(blocks, F.col("source"))))
-        moved = cut(loose.groupBy("source", "block").applyInPandas(move(last), schema))
+        # blocks are small but take time, so the number of tasks is that of the blocks and not left to their sizes
+        tasks = min(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), sum(max(1, -(-n // block)) for n in left.values()))
+        moved = cut(loose.repartition(tasks, "source", "block").groupBy("source", "block").applyInPandas(move(last), schema))
         done.append(moved.where("p = 0 or p = 1").drop("block"))
         if last:
             break
