@@ -53,6 +53,10 @@ def test_mixture_settles_a_source_by_its_other_values(spark):
     rows = [("eu", f"{d}/03/2021") for d in range(13, 29)] + [("us", f"03/{d}/2021") for d in range(13, 29)] + [("eu", "04/05/2021"), ("us", "04/05/2021"), ("odd", "04/05/2021"), ("odd", "05/04/2021")]
     df = spark.createDataFrame(rows, "s string, v string").withColumn("state", F.lit("clash"))
     got = {(r["s"], r["v"]): (r["state"], r["utc_us"], r["layout"]) for r in T.normalise(df, "v", F.col("s")).collect()}
+    digits = [("eu", f"{d}032021") for d in range(13, 29)] + [("us", f"03{d}2021") for d in range(13, 29)] + [("eu", "04052021"), ("us", "04052021"), ("odd", "04052021"), ("odd", "20210405"), ("odd", "99999999")]
+    eight = {(r["s"], r["v"]): (r["state"], r["utc_us"], r["layout"]) for r in T.normalise(spark.createDataFrame(digits, "s string, v string"), "v", F.col("s")).collect()}
+    assert eight["eu", "04052021"] == ("sure", us(2021, 5, 4), "compact_day_first") and eight["us", "04052021"] == ("sure", us(2021, 4, 5), "compact_month_first")
+    assert eight["odd", "04052021"][0] == "ambiguous" and eight["odd", "20210405"] == ("sure", us(2021, 4, 5), "compact") and eight["odd", "99999999"][0] == "none"
     assert got["eu", "04/05/2021"] == ("sure", us(2021, 5, 4), "day_first")
     assert got["us", "04/05/2021"] == ("sure", us(2021, 4, 5), "month_first")
     assert got["odd", "04/05/2021"][:2] == ("ambiguous", None)

@@ -1,7 +1,8 @@
 """Timestamps in mixed layouts, precisions and zones, brought to microseconds since 1970 UTC.
 
-Every value is parsed under each layout it is valid in, with Spark's own expressions. Most values fit one layout. Those
-that fit several (03/04/2021) are settled by expectation-maximisation over a mixture of layouts for each source: a
+Every value is parsed under each layout it is valid in, with Spark's own expressions. Most values fit one layout (zone
+abbreviations and the unit of bare numbers are fixed by rule and leave no choice). Those that fit several (03/04/2021,
+03042021) are settled by expectation-maximisation over a mixture of layouts for each source: a
 value adds likelihood under each of its valid parses, the mixture weights are re-estimated from the posteriors, and
 the posterior picks the reading. Where no reading is likely enough the value is marked as ambiguous.
 
@@ -43,6 +44,8 @@ def _year(text: Column) -> Column:
 
 #: Two numbers and a year in an order that the text does not tell.
 NUMBERS = r"(?<![\d:])(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?![\d:])"
+#: A day of eight digits, of which the order is not told either.
+EIGHT = r"^ *\d{8} *$"
 CLOCK = r"(?<![\d:])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?![\d:])"
 COMPACT = r"(?<!\d)(\d{4})(\d{2})(\d{2})[Tt ]?(\d{2})(\d{2})(\d{2})?(?:[.,](\d{1,9}))?(?!\d)"
 DAY_MONTH = r"(?<!\d)(\d{1,2})(?:st|nd|rd|th)?[ \-]((?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))[A-Za-z]*\.?,?[ \-](\d{4}|\d{2})(?![\d:])"
@@ -130,10 +133,19 @@ def parse(df: DataFrame, value: str) -> DataFrame:
     year = lambda c: F.when(F.length(c) > 2, c.try_cast("int")).when(c.try_cast("int") < 70, c.try_cast("int") + 2000).otherwise(c.try_cast("int") + 1900)
     one, two, three = (F.get("_day", x) for x in range(3))
     number, size = F.col("_number"), F.abs("_number")
+    digits = lambda at, n: F.substring("_text", at, n).try_cast("int")
+    eight = text.rlike(EIGHT) & digits(5, 4).between(1970, 2099)  # the year may stand last
     epoch = F.when(size < 100_000_000_000, read("epoch_s", F.floor(number * 1_000_000))).when(size < 100_000_000_000_000, read("epoch_ms", F.floor(number * 1000))).otherwise(read("epoch_us", F.floor(number)))
     parses = (
         F.when(k == "bare", F.array(epoch))
-        .when(k == "compact", F.array(read("compact", instant(item("_day", 0), item("_day", 1), item("_day", 2)))))
+        .when(
+            k == "compact",
+            F.array(
+                read("compact", instant(item("_day", 0), item("_day", 1), item("_day", 2))),
+                F.when(eight, read("compact_day_first", instant(digits(5, 4), digits(3, 2), digits(1, 2)))),
+                F.when(eight, read("compact_month_first", instant(digits(5, 4), digits(1, 2), digits(3, 2)))),
+            ),
+        )
         .when(k == "year_first", F.array(read("year_first", instant(item("_day", 0), item("_day", 1), item("_day", 2)))))
         .when(k.isin("day_month", "month_day"), F.array(read("named_month", instant(year(one), _month(two), item("_day", 2)))))
         .when(
@@ -188,7 +200,7 @@ def normalise(df: DataFrame, value: str, source: Column, sure: float = 0.9) -> D
     df = df.drop(*[c for c in df.columns if c in added])
     df = df.withColumn("_source", F.coalesce(source.cast("string"), F.lit("")))
     # posteriors of the other layouts are 1; only these take part in a mixture
-    open_ = parse(df.where(F.col(value).rlike(NUMBERS)).select("_source", value), value)
+    open_ = parse(df.where(F.col(value).rlike(NUMBERS) | F.col(value).rlike(EIGHT)).select("_source", value), value)
     rows = open_.groupBy("_source", F.transform("_parses", lambda p: p["layout"]).alias("layouts")).count().collect()
     weights = mixture([(r["_source"], tuple(dict.fromkeys(r["layouts"])), r["count"]) for r in rows])
     read = parse(df, value)
