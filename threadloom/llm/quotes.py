@@ -323,14 +323,21 @@ def by_rule(emails: DataFrame) -> DataFrame:
     touches = lambda way, step: (by(way)[0] == F.col("line_no") + step) | ((by(way)[1] == F.col("place") + step) & (by(way)[2] == F.col("first_at")))
     seeds = seen.withColumn("run", F.coalesce(touches(F.lag, -1), F.lit(False)) | F.coalesce(touches(F.lead, 1), F.lit(False))).where("run and not spill").select("thread", "id", "line_no", "first_at")
     unmarked = quoted_runs(inside.select("thread", "id", "at", "no", "place", "h", "kind"), cut(seeds)).unionByName(seen.where("spill").select("id", "line_no"))
-    # closing lines that recur over a sender's mails, from the end inwards
-    # (a mail stored again counts once, and what is old by its form neither recurs nor ends the closing)
-    last = said(shaped, "id", "sender", "message").where(~is_(IS_CODE | IS_SHOWN))
+    # closing lines that recur over a sender's mails, from the end inwards: each line below the last one that neither recurs
+    # nor is old by its form (mails of one message don't make a line recur)
+    own_kind = lambda x: x["kind"].bitwiseAND(F.lit(IS_CODE | IS_SHOWN).cast("tinyint")) == 0
+    fresh = lambda x: x["kind"].bitwiseAND(F.lit(IS_CODE | IS_SHOWN | IS_OLD).cast("tinyint")) == 0
+    distinct = F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "kind"), own_kind), lambda x: x["h"]))
+    letter = F.coalesce("message", "id")
     mails = shaped.groupBy("sender").agg(F.count("*").alias("mails"))
-    often = last.groupBy("sender", "h").agg(F.count_distinct(F.coalesce("message", "id")).alias("n")).where(F.col("n") >= OFTEN).join(mails, "sender").where(F.col("n") >= SHARE * F.col("mails")).select("sender", "h", F.lit(True).alias("again"))
-    inward = W.partitionBy("id").orderBy(F.desc("line_no"))
-    broken = F.max(F.when(F.col("again") | is_(IS_OLD), 0).otherwise(1)).over(inward)
-    closed = last.join(often, ["sender", "h"], "left").withColumn("broken", broken).where("broken = 0 and again").select("id", "line_no")
+    often = shaped.select("sender", letter.alias("letter"), F.explode(distinct).alias("h")).groupBy("sender", "h").agg(F.count("*").alias("n"), F.min("letter").alias("one"), F.max("letter").alias("other"))
+    often = often.where((F.col("n") >= OFTEN) & (F.col("one") < F.col("other"))).join(mails, "sender").where(F.col("n") >= SHARE * F.col("mails")).select("sender", "h")
+    again = said(shaped, "id", "sender").where(~is_(IS_CODE | IS_SHOWN)).select("id", "line_no", "sender", "h").join(often, ["sender", "h"], "left_semi")
+    again = again.groupBy("id").agg(F.collect_list("line_no").alias("again"))
+    news = F.transform(F.filter(F.arrays_zip("no", "kind"), fresh), lambda x: x["no"])
+    ends = shaped.select("id", news.alias("news")).join(again, "id")
+    above = F.coalesce(F.array_max(F.array_except("news", "again")), F.lit(0))
+    closed = ends.select("id", above.alias("above"), F.explode("again").alias("line_no")).where("line_no > above").select("id", "line_no")
     rules = {"form": formal, "author": marked.unionByName(unmarked), "closing": closed}
     return reduce(DataFrame.unionByName, [df.withColumn("rule", F.lit(name)) for name, df in rules.items()])
 
