@@ -107,6 +107,8 @@ def _fold(text: str) -> set[str]:
 
 #: What a line is: long enough to show an unmarked quotation, code, old by its form, marked or below a copied header.
 TELLS, IS_CODE, IS_OLD, IS_SHOWN = 1, 2, 4, 8
+#: How a line is looked for in earlier mail: as a marked one, as the sender's own, as words spilled over.
+MARKED, OWN, SPILL = 0, 1, 2
 
 
 def shape(body: str, sender: str) -> tuple[list[int], list[tuple[int, int, int, int]], list[tuple[int, int]]]:
@@ -309,15 +311,17 @@ def by_rule(emails: DataFrame) -> DataFrame:
     shown = is_(IS_SHOWN)
     tells = F.col("answer") & is_(TELLS) & ~is_(IS_CODE | IS_OLD)
     own = said(inside, "thread", "id", "message", "at", "answer").where(shown | tells)
-    own = own.select("thread", "id", "message", "at", "line_no", "place", "h", F.when(shown, "marked").otherwise("own").alias("way"))
-    spilled = inside.select("thread", "id", "message", "at", F.inline(F.arrays_zip("spilled_no", "spilled_h"))).select("thread", "id", "message", "at", F.col("spilled_no").alias("line_no"), F.lit(None).cast("int").alias("place"), F.col("spilled_h").alias("h"), F.lit("spill").alias("way"))
-    seen = own.unionByName(spilled).join(firsts, ["thread", "h"]).where("if(way = 'marked', first_shown, first_at) < at")
-    marked = seen.where("way = 'marked'").select("id", "line_no")
+    own = own.select("thread", "id", "message", "at", "line_no", "place", "h", F.when(shown, MARKED).otherwise(OWN).cast("tinyint").alias("way"))
+    spilled = inside.select("thread", "id", "message", "at", F.inline(F.arrays_zip("spilled_no", "spilled_h"))).select("thread", "id", "message", "at", F.col("spilled_no").alias("line_no"), F.lit(None).cast("int").alias("place"), F.col("spilled_h").alias("h"), F.lit(SPILL).cast("tinyint").alias("way"))
+    seen = own.unionByName(spilled).join(firsts, ["thread", "h"]).where(F.when(F.col("way") == MARKED, F.col("first_shown")).otherwise(F.col("first_at")) < F.col("at"))
+    # cut once, and not computed again for each of its uses
+    seen = cut(seen.select("id", "line_no", "way", *[F.when(F.col("way") != MARKED, F.col(x)).alias(x) for x in ("thread", "message", "place", "first_at")]))
+    marked = seen.where(F.col("way") == MARKED).select("id", "line_no")
     # a mail stored again with another date doesn't quote itself
     copies = inside.where("message is not null").select("thread", "message", F.col("at").alias("first_at"))
     # one such line may be chance; two neighbouring ones are a quotation (of one mail, if blank lines part them), and so
     # is a spilled-over line
-    seen = cut(seen.where("way <> 'marked'").join(copies, ["thread", "message", "first_at"], "left_anti").select("thread", "id", "line_no", "place", "first_at", (F.col("way") == "spill").alias("spill")))
+    seen = cut(seen.where(F.col("way") != MARKED).join(copies, ["thread", "message", "first_at"], "left_anti").select("thread", "id", "line_no", "place", "first_at", (F.col("way") == SPILL).alias("spill")))
     mail = W.partitionBy("id").orderBy("line_no")
     by = lambda way: (way("line_no").over(mail), way("place").over(mail), way("first_at").over(mail))
     touches = lambda way, step: (by(way)[0] == F.col("line_no") + step) | ((by(way)[1] == F.col("place") + step) & (by(way)[2] == F.col("first_at")))
